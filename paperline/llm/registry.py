@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from . import simhash
+import public_tokenizers
+
+from . import bpe, exact_dedup, quality_rules, simhash
 from .common import table
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
 
 
 def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules.quality(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+def op4_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op5_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality_rules, op4_exact_dedup, op5_bpe)}
