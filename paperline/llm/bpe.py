@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ class Codec:
 
 def slices(batch: pa.RecordBatch, column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``chars`` bytes of text each, one row at least."""
-    sizes = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch[column]).to_numpy(zero_copy_only=False).astype(float)))
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False).astype(float)))
     at = 0
     while at < batch.num_rows:
         base = sizes[at - 1] if at else 0

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, quality_rules, simhash
+from pyspark.sql import functions as F
+
+from . import bpe, exact_dedup, line_dedup, packing, quality_rules, sharding, simhash
 from .common import table
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
 
 
 def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("cleaned").cast("binary"), 256).alias("cleaned_sha256"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -26,4 +33,12 @@ def op5_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality_rules, op4_exact_dedup, op5_bpe)}
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_sharding(spark, sf_dir):
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_quality_rules, op4_exact_dedup, op5_bpe, op7_packing, op9_sharding)}
