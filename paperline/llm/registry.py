@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, quality_rules, sharding, simhash
+from . import bpe, exact_dedup, line_dedup, packing, quality_model, quality_rules, secrets, sharding, simhash
 from .common import table
 
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
@@ -41,4 +41,13 @@ def op9_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_quality_rules, op4_exact_dedup, op5_bpe, op7_packing, op9_sharding)}
+def op10_secrets(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"), secrets.train(spark))
+
+
+def op8_quality_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.scored(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_quality_rules, op4_exact_dedup, op5_bpe, op7_packing, op8_quality_model, op9_sharding, op10_secrets)}
