@@ -41,14 +41,14 @@ def statistics(text: Column) -> dict[str, Column]:
 def shares(c: dict[str, Column]) -> dict[str, Column]:
     words, chars = F.greatest(c["words"], F.lit(1.0)), F.greatest(c["chars"], F.lit(1.0))
     return {
-        "words": c["words"], "distinct_share": c["distinct_words"] / words, "word_length": c["chars"] / words, "symbols": c["symbols"] / words,
+        "words": c["words"], "distinct_share": c["distinct_words"] / words, "distinct_root": c["distinct_words"] / F.sqrt(words), "word_length": c["chars"] / words, "symbols": c["symbols"] / words,
         "stuck": c["stuck"] / words, "bars": c["bars"] / words, "shouts": c["shouts"] / words, "ends": c["ends"] / words,
         "capitals": c["capitals"] / chars, "digits": c["digits"] / chars, "lines": c["lines"], "line_words": c["words"] / c["lines"],
         "repeated_lines": F.lit(1.0) - c["distinct_lines"] / c["lines"],
     }
 
 
-STATISTICS = ["words", "distinct_share", "word_length", "symbols", "stuck", "bars", "shouts", "ends", "capitals", "digits", "lines", "line_words", "repeated_lines"]
+STATISTICS = ["words", "distinct_share", "distinct_root", "word_length", "symbols", "stuck", "bars", "shouts", "ends", "capitals", "digits", "lines", "line_words", "repeated_lines"]
 Rule = tuple[tuple[str, bool, float], ...]
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, quality_model, quality_rules, secrets, sharding, simhash
+from . import bpe, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, secrets, sharding, simhash
 from .common import table
 
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
@@ -33,6 +33,10 @@ def op5_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.train(spark))
+
+
 def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,4 +54,4 @@ def op8_quality_model(spark, sf_dir):
     return quality_model.scored(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_quality_rules, op4_exact_dedup, op5_bpe, op7_packing, op8_quality_model, op9_sharding, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_quality_rules, op4_exact_dedup, op5_bpe, op6_licenses, op7_packing, op8_quality_model, op9_sharding, op10_secrets)}
