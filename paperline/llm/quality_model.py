@@ -7,6 +7,7 @@ them with zero; the rest are compiled into one column expression, so scoring is
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -109,7 +110,7 @@ def tree_rules(forest) -> list[Rule]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, trees: int = 12, depth: int = 3, penalty: float = 0.002) -> Ensemble:
-    """The ensemble of ``training_rows``; with one class only, or no row at all, a constant one (of a half for no row)."""
+    """The ensemble of ``training_rows``. With one class only, no row, or too few rows for any rule, the score is constant."""
     rows = training_rows(docs, labels, label, max_rows).cache()
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
@@ -118,6 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     assembled = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=5, featureSubsetStrategy="onethird", minInstancesPerNode=10).fit(assembled)
     rules = tree_rules(forest)
+    if not rules:
+        rows.unpersist()
+        return Ensemble(math.log(counts[1.0] / counts[0.0]))
     stats = {s: F.col(s) for s in STATISTICS}
     fired = rows.select("label", *[holds(r, stats).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     fired = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(fired).select("label", "features").cache()
