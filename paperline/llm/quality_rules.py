@@ -130,3 +130,26 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     new = {"text": F.col(f"{mark}.cleaned"), "n_chars": F.char_length(f"{mark}.cleaned").cast("long")}
     kept = docs.withColumn(mark, judged(F.col("text"), rules)).where(f"{mark}.kept")
     return kept.select(*[new[c].alias(c) if c in new else x for c, x in zip(docs.columns, columns(docs), strict=True)])
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT rid, string_split(t, chr(10)) AS ls FROM d),
+l AS (SELECT rid, i, ls[i] AS line, list_filter(string_split_regex(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+j AS (SELECT rid, i, line, w, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&<>]+$|!!+$'))) AS stuck,
+      len(list_filter(w, lambda x: x IN ('|', '>', '<', '»', '«', '/', '·', '•', '→'))) AS bars,
+      regexp_matches(line, '(?i)\b(cookie|cookies|all rights reserved|subscribe to our|sign up for our|terms of (use|service)|privacy policy|javascript (is )?(disabled|required))\b') AS notice,
+      len(list_distinct(w)) AS own, len([1 FOR k IN range(1, len(w)) IF w[k] = w[k + 1]]) AS adjacent FROM l WHERE len(w) > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY i) > 1 AS again, CASE WHEN stuck > CAST(0.3 AS DOUBLE) * n THEN 'p' WHEN bars > CAST(0.15 AS DOUBLE) * n THEN 'n'
+      WHEN n <= 30 AND notice OR n >= 8 AND own <= CAST(0.34 AS DOUBLE) * n AND adjacent * 2 > n THEN 'b' END AS fault FROM j),
+a AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_words, count(*) FILTER (WHERE again) AS dups, count(fault) AS removed, CAST(coalesce(sum(n) FILTER (WHERE fault = 'p'), 0) AS BIGINT) AS p,
+      CAST(coalesce(sum(n) FILTER (WHERE fault = 'n'), 0) AS BIGINT) AS v, CAST(coalesce(sum(n) FILTER (WHERE fault = 'b'), 0) AS BIGINT) AS b, flatten(list(w ORDER BY i)) AS ws FROM f GROUP BY rid),
+g AS (SELECT rid, k, ws[k:k + 4] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS k FROM a)),
+r AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT rid, count(DISTINCT x) AS repeats FROM (SELECT rid, unnest(range(k, k + 5)) AS x FROM r) GROUP BY rid),
+x AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines,
+      coalesce(repeats, 0) AS n_repeat_words, coalesce(removed, 0) AS n_lines_removed, coalesce(p, 0) AS words_lost_punctuation, coalesce(v, 0) AS words_lost_navigation, coalesce(b, 0) AS words_lost_boilerplate
+      FROM d LEFT JOIN a USING (rid) LEFT JOIN c USING (rid)),
+y AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x)
+SELECT *, NOT base_failed AND words_lost_punctuation + words_lost_navigation + words_lost_boilerplate <= CAST(0.3 AS DOUBLE) * n_words AS kept FROM y
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import bpe, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, secrets, sharding, simhash
 from .common import table
 
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
 
 
 def op1_simhash(spark, sf_dir):
