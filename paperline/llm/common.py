@@ -65,3 +65,15 @@ def offsets(totals: DataFrame, by: list[str], total: str, out: str) -> DataFrame
 
     w = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(out, F.coalesce(F.sum(total).over(w), F.lit(0)))
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, most: int = 1000) -> DataFrame:
+    """``rows`` with the one row of ``groups`` for their keys, which every row has; large groups stay where they are.
+
+    ``count`` tells how many of ``rows`` a group has. Fewer than ``most`` groups can hold more than one in ``most`` of all rows,
+    which bounds the side that is broadcast; rows of other groups are shuffled. Both inputs should be written tables.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(groups.where(F.col(count) * most > total))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(count) * most <= total), keys)
+    return rows.join(hot, keys).unionByName(rest)

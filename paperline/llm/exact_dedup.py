@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, KEY, columns, offsets, row_key, utf8, written
+from .common import BLANK_CLASS, KEY, columns, offsets, row_key, spread_join, utf8, written
 
 #: Names are ranks within a bucket of keys plus the number of names in the buckets before it.
 BUCKETS = 4096
@@ -97,8 +97,8 @@ def exact_duplicates(docs: DataFrame, size: int = 2048, seeds: tuple[int, ...] =
     """
     ids = written(identities(docs, size, seeds), "identities")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("best")
-    groups = ids.groupBy("level", "name").agg(best, F.count("*").alias("group_size"))
-    whole = ids.join(groups, ["level", "name"])
+    groups = written(ids.groupBy("level", "name").agg(best, F.count("*").alias("group_size")), "groups")
+    whole = spread_join(ids, groups, ["level", "name"], "group_size")
     return whole.select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"), *KEY
     )
