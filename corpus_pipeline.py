@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperline.llm import exact_dedup, packing, quality_rules, secrets, simhash
+from paperline.llm import exact_dedup, near_dedup, packing, quality_rules, secrets
 from paperline.llm.common import table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,8 +27,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked fingerprints stays, the one with the smallest doc_id."""
-    return simhash.dedup(docs)
+    """Of texts linked by five-word shingles (Jaccard 0.8 or more) one stays, the one with the smallest doc_id."""
+    return near_dedup.dedup(docs)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
