@@ -20,18 +20,21 @@ from pyspark.sql import functions as F
 from .common import KEY, columns, row_key
 
 NAMES = r"(?:(?:token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential|client[_-]?key|signing[_-]?key)[a-z0-9_-]{0,20})"
-#: Public formats of keys.
-PREFIXED = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[0-9A-Za-z]{16,64}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}"
-#: Group 1: what stands before the value; group 2: the value.
+#: Public formats of keys. Runs have no upper bound; possessive quantifiers keep them linear.
+PREFIXED = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
+#: A private key block with all between its marks: header lines, line ends written as escapes, checksums.
+BLOCK = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+#: What stands before a named value.
+NAMED = r"(?i:" + NAMES + r")[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}[\"'`]?"
 CANDIDATE = (
-    r"((?i:" + NAMES + r")[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}[\"'`]?)([A-Za-z0-9+/_.~@!%^-]{8,4096}={0,2})"
-    r"|(?<![A-Za-z0-9_+/-])(" + PREFIXED + r")(?![A-Za-z0-9_-])"
-    r"|(?<![A-Za-z0-9_+/=-])([0-9a-fA-F]{32,128}|(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{40,200}={0,2})(?![A-Za-z0-9_+/-])"
-    r"|(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,30}PRIVATE KEY-----)"
-)
+    r"(?:" + NAMED + r")?" + BLOCK
+    + r"|" + NAMED + r"(?!-----BEGIN )[A-Za-z0-9+/_.~@!%^-]{8,}+={0,2}"
+    r"|(?<![A-Za-z0-9_+/-])(?:" + PREFIXED + r")(?![A-Za-z0-9_-])"
+    r"|(?<![A-Za-z0-9_+/=-])(?:[0-9a-fA-F]{32,}+|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{40,}+={0,2})(?![A-Za-z0-9_+/-])"
+)
 #: Characters on each side of a candidate that its features may look at.
 AROUND = 60
-VALUE = r"^(?:(?i:" + NAMES + r")[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}[\"'`]?)?"
+VALUE = r"^(?:" + NAMED + r")?"
 CREDENTIAL_WORDS = r"(?i)token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|private|credential|signing"
 HARMLESS_WORDS = r"(?i)(?<![\w.@-])(?:sha-?1|sha-?256|sha512|md5|checksum|digest|commit|revision|etag|uuid|example|sample|dummy|test|placeholder|fingerprint|integrity|hash)(?![\w.@])"
 HARMLESS_PATHS = r"(?i)test|example|sample|fixture|mock|doc|lock|vendor"
