@@ -19,9 +19,13 @@ def q29_text_duplicates(spark, sf_dir):
 
 
 def _copies(spark, sf_dir):
-    """Every document once more under another number: whole if its number is even, without its first row if it is odd."""
-    lines = inv_items(spark, sf_dir).withColumns({"code": F.lit(None).cast("string")})
+    """Every document once more under another number: whole if its number is even, without its first row if it is odd.
+
+    Every third row has no barcode, and the copy's sum of every other row is a cent off.
+    """
+    lines = inv_items(spark, sf_dir).withColumns({"code": F.lit(None).cast("string"), "barcode": F.when(F.col("n") % 3 != 0, F.col("barcode"))})
     again = lines.where((F.col("doc_id") % 2 == 0) | (F.col("n") > 1)).withColumn("doc_id", F.col("doc_id") + 1000000000)
+    again = again.withColumn("sum", round2(F.col("sum") + F.when(F.col("n") % 2 == 0, 0.01).otherwise(0.0)))
     return lines.unionByName(again)
 
 
