@@ -2,7 +2,8 @@
 
 Every three consecutive lines of a text are a window, known by two 64-bit hashes. The first occurrence of a window is the least
 by (doc_id, row key, line). All later ones cover their lines; covered lines are merged into runs and cut out, but for lines that
-the first occurrence of some repeated window needs, so each repeated passage stays whole once.
+the first occurrence of some repeated window needs, so each repeated passage stays whole once. Passages inside a line, or of
+one or two lines, are not found.
 """
 
 from __future__ import annotations
