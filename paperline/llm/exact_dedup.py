@@ -4,9 +4,9 @@ A text without its blanks is cut into blocks of a fixed number of bytes. The dis
 gets its rank as an integer name; then adjacent names are paired, the distinct pairs are sorted and named in turn, and so on
 until each document has one name. Two documents have the same (level, name) exactly if their texts are equal.
 
-Blocks are sorted by a 64-bit key in place of their bytes, which is right only while no two blocks share a key. That is not
+Blocks are sorted by a key of 64-bit hashes in place of their bytes, which is right only while no two blocks share a key. That is not
 assumed: the smallest and the largest block under each key are compared, over all blocks, and if some key has two blocks, the
-naming starts again with one more hash in the key. Block bytes are shuffled once, after the map side has reduced copies to one
+naming starts again with one more hash in the key (two at first). Block bytes are shuffled once, after the map side has reduced copies to one
 row; documents carry keys only.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, KEY, columns, offsets, row_key, spread_join, utf8, written
+from .common import BLANK_CLASS, KEY, offsets, one_of_each, removed, row_key, spread_join, utf8, written
 
 #: Names are ranks within a bucket of keys plus the number of names in the buckets before it.
 BUCKETS = 4096
@@ -33,21 +33,24 @@ def blocks(plain: Column, size: int) -> Column:
 
 
 def ranked(distinct: DataFrame, key: list[str]) -> DataFrame:
-    """``distinct`` with ``name``: ranks from 1 in the order of the key, without a global sort."""
+    """``distinct`` (``key`` and a count ``n``) with ``name``: ranks from 1 in the order of the key, without a global sort."""
     at = distinct.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)))
-    before = offsets(at.groupBy("bucket").agg(F.count("*").alias("n")), ["bucket"], "n", "before")
+    before = offsets(at.groupBy("bucket").agg(F.count("*").alias("n")), ["bucket"], "n", "before").drop("n")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*key))
     # before: a row for each of BUCKETS buckets at most, which bounds the broadcast
-    return at.join(F.broadcast(before), "bucket").select(*key, (F.col("before") + rank).alias("name"))
+    return at.join(F.broadcast(before), "bucket").select(*key, "n", (F.col("before") + rank).alias("name"))
 
 
 def block_names(cut: DataFrame, hashes: list[int]) -> DataFrame | None:
-    """(key columns, name) of the distinct ``block``s of ``cut``, or None if two blocks share a key."""
+    """(key columns, n, name) of the distinct ``block``s of ``cut``, or None if two blocks share a key."""
     key = [f"h{i}" for i in range(len(hashes))]
     hashed = cut.select("block", *[_hash(F.col("block"), s).alias(k) for s, k in zip(hashes, key, strict=True)])
-    spans = hashed.groupBy(*key).agg(F.min("block").alias("low"), F.max("block").alias("high"))
-    checked = written(spans.select(*key, (F.col("low") != F.col("high")).alias("clash")), "block-keys")
-    return None if checked.where("clash").head(1) else ranked(checked.select(*key), key)
+    spans = hashed.groupBy(*key).agg(F.min("block").alias("low"), F.max("block").alias("high"), F.count("*").alias("n"))
+    checked = written(spans.select(*key, "n", (F.col("low") != F.col("high")).alias("clash")), "block-keys")
+    if checked.where("clash").head(1):
+        removed(checked)
+        return None
+    return written(ranked(checked.select(*key, "n"), key), "block-names")
 
 
 def _hash(block: Column, seed: int) -> Column:
@@ -55,11 +58,12 @@ def _hash(block: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(block), F.lit(-seed)) if seed < 0 else F.xxhash64(F.lit(seed), block)
 
 
-def identities(docs: DataFrame, size: int = 2048, seeds: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+def identities(docs: DataFrame, size: int = 2048, seeds: tuple[int, ...] = (0, 1, 2, 3), first: int = 2) -> DataFrame:
     """A row for each row of ``docs``: ``rid``, doc_id, the row key, ``points``, ``sha``, and the identity (``level``, ``name``)."""
     plain = docs.select(normalised().alias("plain"))
     cut = plain.select(F.explode(blocks(F.col("plain"), size)).alias("block"))
-    used = next((k for k in range(1, len(seeds) + 1) if (names := block_names(cut, list(seeds[:k]))) is not None), None)
+    # Two hashes first: with one, a corpus of 10^10 blocks would be read twice for a few clashes.
+    used = next((k for k in range(min(first, len(seeds)), len(seeds) + 1) if (names := block_names(cut, list(seeds[:k]))) is not None), None)
     if used is None:
         raise RuntimeError("blocks still share keys; give more seeds")
     keys = [f"h{i}" for i in range(used)]
@@ -72,7 +76,7 @@ def identities(docs: DataFrame, size: int = 2048, seeds: tuple[int, ...] = (0, 1
     )
     heads = written(heads, "heads")
     at = heads.select("rid", F.size("cut").alias("left"), F.posexplode("cut").alias("pos", "h")).select("rid", "left", "pos", "h.*")
-    at = written(at.join(names, keys).select("rid", "left", "pos", "name"), "names")
+    at = written(spread_join(at, names, keys, "n").select("rid", "left", "pos", "name"), "names")
     done, level = None, 0
     while True:
         whole = at.where("left = 1").select("rid", F.lit(level).alias("level"), "name")
@@ -83,8 +87,9 @@ def identities(docs: DataFrame, size: int = 2048, seeds: tuple[int, ...] = (0, 1
         halves = F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("b")
         pairs = rest.groupBy("rid", F.floor((F.col("left") + 1) / 2).cast("int").alias("left"), F.floor(F.col("pos") / 2).cast("int").alias("pos")).agg(*halves)
         pairs = written(pairs.withColumn("b", F.coalesce("b", F.lit(0).cast("long"))), "pairs")
-        named = ranked(pairs.select("a", "b").distinct(), ["a", "b"])
-        at = written(pairs.join(named, ["a", "b"]).select("rid", "left", "pos", "name"), "names")
+        named = written(ranked(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"]), "pair-names")
+        at = written(spread_join(pairs, named, ["a", "b"], "n").select("rid", "left", "pos", "name"), "names")
+        removed(pairs, named)
         level += 1
     return heads.drop("cut").join(done, "rid")
 
@@ -93,7 +98,8 @@ def exact_duplicates(docs: DataFrame, size: int = 2048, seeds: tuple[int, ...] =
     """doc_id, keep_id, group_size, kept, text_sha256 and the row keys, a row for each row of ``docs``.
 
     Null texts count as empty. Of equal texts the row with the most code points stays, then the smallest doc_id; a null doc_id
-    comes last. Of rows alike in doc_id and text one is marked as kept. Other columns are neither read nor returned.
+    comes last. Of rows alike in doc_id and text one is marked as kept. A very long text is many blocks, which are dealt out.
+    Other columns are neither read nor returned. An empty table gives an empty result.
     """
     ids = written(identities(docs, size, seeds), "identities")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("best")
@@ -105,9 +111,12 @@ def exact_duplicates(docs: DataFrame, size: int = 2048, seeds: tuple[int, ...] =
 
 
 def dedup(docs: DataFrame, size: int = 2048) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    keep = exact_duplicates(docs, size).where("kept").select(*KEY)
-    return docs.select("*", *row_key()).dropDuplicates(KEY).join(keep, KEY).select(*columns(docs))
+    """The rows of ``docs`` that stay, with the columns of ``docs``: one of each group of equal texts.
+
+    Nulls, empty and very long texts, ties and an empty table are dealt with as by ``exact_duplicates``; of rows alike in doc_id
+    and text the first by their other columns stays.
+    """
+    return one_of_each(docs, exact_duplicates(docs, size).where("kept").select(*KEY))
 
 
 ORACLE = r"""
