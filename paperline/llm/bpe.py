@@ -1,34 +1,36 @@
 """BPE encoding and decoding with forced boundaries.
 
-A byte pair that occurs inside no vocabulary token can never be bridged by a merge, so a text may be cut between its two bytes.
-The vocabulary gives the table of such pairs; the cuts used are those before a blank that follows a non-blank, where the table has
-no such pair, because there the pre-tokenizer's view ends too: it never joins a word to the blanks after it. Fragments (blanks
-and the word after them) are encoded independently, each distinct one once for as long as a worker remembers it, and the ids
-are concatenated.
+A merge makes a token of the vocabulary, so a byte pair that occurs inside no token can never be bridged by one. The vocabulary
+gives the table of the pairs that do occur (some two thousand of 65,536); a text is cut between the two bytes of all others.
+First come the cuts that need no pre-tokenizer: before a blank that follows a non-blank, and before a stop that follows a letter,
+where the pre-tokenizers here end a word too (unless the table has such a pair). Each distinct fragment is then split into
+pre-tokens and these are cut at every pair that the table lacks; the pieces are merged by rank, each by itself, and their ids
+concatenated. Of a pre-token the last piece carries the mark of a word's end. Workers remember fragments and pieces within a
+bounded number of characters.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, fields, mapped
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-#: Fragments that a worker remembers before it starts anew; a bound of memory, not of input.
-REMEMBERED = 400_000
-#: Characters of text per batch of results.
-BATCH_CHARS = 4_000_000
+#: Characters of fragments, and pieces, that a worker remembers before it starts anew; longer fragments are not remembered.
+REMEMBERED_CHARS, REMEMBERED_PIECES, LONGEST = 6_000_000, 200_000, 200
+#: Symbols from which a piece is merged by a heap.
+MANY = 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,23 +64,76 @@ def last_byte(text: str) -> int:
 
 
 class Memory(dict):
-    """Fragments with their ids; an unknown one is learnt when it is asked for."""
+    """Fragments with their ids; an unknown one is learnt when it is asked for, and remembered if it is not long."""
 
     def __init__(self, learn: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.learn = learn
+        self.learn, self.chars = learn, 0
 
     def __missing__(self, fragment: str) -> bytes:
-        self[fragment] = ids = self.learn(fragment)
+        ids = self.learn(fragment)
+        if len(fragment) <= LONGEST:
+            self[fragment] = ids
+            self.chars += len(fragment)
         return ids
 
+    def trim(self) -> None:
+        if self.chars > REMEMBERED_CHARS:
+            self.clear()
+            self.chars = 0
+
+
+#: A pair of ids as one number, and the rank of a pair without a merge.
+PAIR, NO_RANK = 1 << 20, 1 << 40
+
+
+def merged(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """``symbols`` after all merges: always the pair of the lowest rank, the leftmost of equals.
+
+    ``ranks``: first * PAIR + second -> rank; ``made``: the id that the merge of a rank makes.
+    """
+    if len(symbols) > MANY:
+        return _merged_by_heap(symbols, ranks, made)
+    get = ranks.get
+    at = [get(a * PAIR + b, NO_RANK) for a, b in zip(symbols, symbols[1:], strict=False)]
+    while at and (best := min(at)) != NO_RANK:
+        i = at.index(best)
+        symbols[i] = made[best]
+        del symbols[i + 1], at[i]
+        if i:
+            at[i - 1] = get(symbols[i - 1] * PAIR + symbols[i], NO_RANK)
+        if i < len(at):
+            at[i] = get(symbols[i] * PAIR + symbols[i + 1], NO_RANK)
+    return symbols
+
+
+def _merged_by_heap(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """The same in n log n steps: ``after`` and ``before`` chain the symbols left; an entry whose pair has changed is stale."""
+    n, gone, get = len(symbols), -1, ranks.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := get(symbols[i] * PAIR + symbols[i + 1], NO_RANK)) != NO_RANK]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        k = after[i]
+        if k >= n or symbols[i] == gone or get(symbols[i] * PAIR + symbols[k], NO_RANK) != rank:
+            continue
+        symbols[i], symbols[k], after[i] = made[rank], gone, after[k]
+        if after[k] < n:
+            before[after[k]] = i
+        for left in (before[i], i):
+            if left >= 0 and after[left] < n and (r := get(symbols[left] * PAIR + symbols[after[left]], NO_RANK)) != NO_RANK:
+                heapq.heappush(heap, (r, left))
+    return [x for x in symbols if x != gone]
+
 
 class Codec:
     """A tokenizers file with its table of pairs. One for each worker and path."""
 
-    _open: dict[str, Codec] = {}
+    _open: dict[tuple[str, bool], Codec] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, by_library: bool = False) -> None:
+        """``by_library``: merge plain words by a library's ranks, if the file allows it, which is several times faster."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -106,21 +161,47 @@ class Codec:
         self.spell = {None: self._spaced, "ByteLevel": self._bytes}.get(decoder, lambda ids: self.tokenizer.decode(list(ids), skip_special_tokens=False))
         added = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.raw = [added.get(i) or bytes(alphabet[c] for c in t if c in alphabet) for i, t in enumerate(self.tokens)] if decoder == "ByteLevel" else []
-        #: How a fragment of one blank at most and letters reaches the model, for the two pre-tokenizers known here.
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.shown, self.alphabet = {b: c for c, b in alphabet.items()}, alphabet
+        model = spec["model"]
+        plainly = not model.get("continuing_subword_prefix") and not model.get("byte_fallback") and not model.get("ignore_merges") and not model.get("dropout")
+        if not plainly or any(c not in model["vocab"] or suffix and c + suffix not in model["vocab"] for c in alphabet):
+            raise ValueError("a byte-level BPE file without prefixes, byte fallback or whole-word look-ups is asked for")
+        of = model["vocab"]
+        self.first = [of[self.shown[b]] for b in range(256)]
+        self.last = [of[self.shown[b] + suffix] for b in range(256)]
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        pairs = [(of[a] * PAIR + of[b], of[a + b]) for a, b in pairs]
+        self.ranks, self.made = {key: rank for rank, (key, _) in enumerate(pairs)}, [made for _, made in pairs]
+        self.joined = {(int(a), int(b)) for a, b in np.argwhere(self.inside)}
+        self.pieces: dict[tuple[bytes, bool], list[int]] = {}
+        #: How a fragment of one blank at most and letters becomes one pre-token, for the two pre-tokenizers known here.
         steps = json.dumps([spec.get("normalizer"), spec["pre_tokenizer"]])
-        self.shown = {b: c for c, b in alphabet.items()}
         self.word = None
         if spec.get("normalizer") is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-            self.word = self._ranked(spec["model"], alphabet) or (lambda f: self._modelled(f))
+            self.word = str.encode
         elif '"Lowercase"' in steps and '"behavior": "Removed", "invert": true' in steps and r"[\\p{L}]+" in steps:
-            self.word = lambda f: self._modelled(f.removeprefix(" ").lower())
+            self.word = lambda f: f.removeprefix(" ").lower().encode()
+        self.library = self._ranked(model, alphabet) if by_library and self.word is str.encode else None
         self.memory = Memory(self.learn)
 
     @classmethod
-    def of(cls, path: str) -> Codec:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def of(cls, path: str, by_library: bool = False) -> Codec:
+        if (path, by_library) not in cls._open:
+            cls._open[path, by_library] = cls(path, by_library)
+        return cls._open[path, by_library]
+
+    @staticmethod
+    def _ranked(model: dict, alphabet: dict[str, int]) -> Callable[[str], list[int]] | None:
+        """A library's encoder of whole pre-tokens, if the ids are in the order of the merges."""
+        vocabulary = model["vocab"]
+        found = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", ""), -1) for m in model["merges"]]
+        if sorted(vocabulary.values()) != list(range(256 + len(found))) or found != list(range(256, 256 + len(found))):
+            return None
+        import tiktoken
+
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items()}
+        return tiktoken.Encoding("whole pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def fragments(self, text: str) -> list[str]:
         """A text cut before each blank after a non-blank and each stop after a letter, unless the two bytes there occur
@@ -138,35 +219,49 @@ class Codec:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+        self.memory.trim()
         return b"".join(map(self.memory.__getitem__, self.fragments(text or "")))
 
     def learn(self, fragment: str) -> bytes:
-        """The ids of one fragment. A word of Latin-1 letters is one pre-token, so the model alone can encode it."""
+        """The ids of one fragment. A word of Latin-1 letters is one pre-token; others are split by the file's pre-tokenizer."""
         word = fragment.removeprefix(" ")
         if self.word and word.isalpha() and max(word) < "\u0100":
-            ids = self.word(fragment)
-        else:
+            ids = self.library(fragment) if self.library else self.forced(self.word(fragment))
+        elif any(s in fragment for s in self.specials):
             ids = self.tokenizer.encode(fragment, add_special_tokens=False).ids
+        else:
+            normal = self.tokenizer.normalizer.normalize_str(fragment) if self.tokenizer.normalizer else fragment
+            ids = []
+            for pretoken, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
+                ids += self.forced(bytes(map(self.alphabet.__getitem__, pretoken)))
         return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
-    def _modelled(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize("".join(map(self.shown.__getitem__, word.encode())))]
-
-    @staticmethod
-    def _ranked(model: dict, alphabet: dict[str, int]) -> Callable[[str], list[int]] | None:
-        """The same merges by ranks, which is several times faster, if the ids are in the order of the merges."""
-        if model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
-            return None
-        vocabulary = model["vocab"]
-        merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", ""), -1) for m in model["merges"]]
-        if sorted(vocabulary.values()) != list(range(256 + len(merged))) or merged != list(range(256, 256 + len(merged))):
-            return None
-        import tiktoken
+    def cuts(self, pretoken: bytes) -> list[int]:
+        """The places in a pre-token, 0 and its length included, where the two bytes are inside no token."""
+        b = np.frombuffer(pretoken, np.uint8)
+        return [0, *(np.flatnonzero(~self.inside[b[:-1], b[1:]]) + 1).tolist(), len(b)]
+
+    def forced(self, pretoken: bytes) -> list[int]:
+        """The ids of a pre-token: its pieces between forced boundaries, each merged by itself."""
+        if self.joined.issuperset(zip(pretoken, pretoken[1:], strict=False)):
+            return self.piece(pretoken, True)
+        at, ids = self.cuts(pretoken), []
+        for a, b in zip(at, at[1:], strict=False):
+            ids += self.piece(pretoken[a:b], b == len(pretoken))
+        return ids
 
-        ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items()}
-        return tiktoken.Encoding("whole pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    def piece(self, piece: bytes, last: bool) -> list[int]:
+        known = self.pieces.get((piece, last))
+        if known is None:
+            symbols = [self.first[b] for b in piece]
+            if last and piece:
+                symbols[-1] = self.last[piece[-1]]
+            known = merged(symbols, self.ranks, self.made)
+            if len(piece) <= LONGEST:
+                if len(self.pieces) >= REMEMBERED_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece, last] = known
+        return known
 
     def decode(self, ids: bytes) -> str:
         return self.spell(np.frombuffer(ids, "<u4").tolist())
@@ -178,41 +273,27 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``chars`` bytes of text each, one row at least."""
-    sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False).astype(float)))
-    at = 0
-    while at < batch.num_rows:
-        base = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, base + chars, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ``ids`` (array<int>) and ``decoded`` (their text), a row for each row of ``docs``.
 
-    Null and empty texts have no id and decode to the empty text. Repeated rows and null doc_ids come back as they are. Other
-    columns are neither read nor returned.
+    Null and empty texts have no id and decode to the empty text. Very long texts, without any blank too, take time in proportion
+    (n log n within one piece). Repeated rows and null doc_ids come back as they are. Other columns are neither read nor
+    returned. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(part: pa.RecordBatch) -> pa.RecordBatch:
         codec = Codec.of(path)
-        for batch in batches:
-            for part in slices(batch):
-                ids = [codec.encode(t) for t in part["text"].to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                columns = [part["doc_id"], pa.ListArray.from_arrays(pa.array(ends), values), pa.array(map(codec.decode, ids), pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+        ids = [codec.encode(t) for t in part["text"].to_pylist()]
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+        values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        columns = [part["doc_id"], pa.ListArray.from_arrays(pa.array(ends), values), pa.array(map(codec.decode, ids), pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
 
-    return docs.mapInArrow(of, f"doc_id {kind}, ids array<int>, decoded string")
+    return mapped(docs.select("doc_id", "text"), f"{fields(docs, 'doc_id')}, ids array<int>, decoded string", of)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """n_tokens and the SHA-256 of ids and decoded text in place of them."""
+    """``encoded`` with n_tokens and the SHA-256 of ids and decoded text in place of them; nulls and odd rows as there."""
     return encoded(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Codec, slices
-from .common import written
+from .bpe import Codec
+from .common import removed, slices, written
 
 #: Items that one task packs at a time, and the most that a partition of a later round is meant to hold.
 AT_ONCE = 50_000
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> Dat
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path)
+        codec = Codec.of(path, by_library=True)
         for batch in batches:
             for part in slices(batch):
                 at, starts, lengths, crcs = [], [], [], []
@@ -113,8 +113,11 @@ def packed(parts: DataFrame, size: int = 1024, slack: int = SLACK, at_once: int
     Pieces of the full size are sequences of their own. Equal pieces and repeated rows are packed one by one. An empty table
     gives an empty result. sequence_ids are distinct numbers, not dense.
     """
+    # Written first, so that a task has one Python worker at a time: the tokenizer's or the packer's.
+    parts = written(parts, "pieces")
     items = parts.select(F.col("length").alias("fill"), F.array(F.struct(*parts.columns)).alias("members"))
     now, done, before = written(merged(items, size, at_once), "bins"), [], None
+    removed(parts)
     while True:
         open_bins = now.where(F.col("fill") < size - slack)
         n = open_bins.count()
@@ -140,7 +143,7 @@ def packed(parts: DataFrame, size: int = 1024, slack: int = SLACK, at_once: int
 def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset, a row for each piece of each row of ``docs``.
 
-    Null and empty texts are one piece, the end id alone. Repeated rows are packed as often as they come, null doc_ids as they
-    are. Other columns are neither read nor returned.
+    Null and empty texts are one piece, the end id alone; very long ones are cut. Repeated rows are packed as often as they come,
+    null doc_ids as they are. Other columns are neither read nor returned. An empty table gives an empty result.
     """
     return packed(pieces(docs, path, size, end_id), size)
