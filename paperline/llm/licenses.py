@@ -2,15 +2,17 @@
 
 Word n-grams of each paragraph (a line of the text) are scored by a multinomial logistic regression with a lasso penalty, fitted
 to notices and passages of the licence templates and to counterexamples that only sound like licences. The few n-grams with a
-weight become a small table, so scoring is a join. The probability from which a family is believed is calibrated on rows kept
-out of the fit; below it a paragraph is of the unknown class. A believed family must then share word triples with its template.
+weight, and the word triples of the templates, become a small table, so scoring is a join. Two numbers are calibrated on rows kept
+out of the fit: the temperature of the probabilities (least log loss), and the probability from which a family is believed (so
+that few of all unknown rows pass, and at least 0.5); below it a paragraph is of the unknown class. A believed family must then
+share word triples with its template.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -106,20 +108,28 @@ def examples(seed: int = 3, copies: int = 8) -> list[tuple[str, str]]:
 
 @dataclass(frozen=True)
 class Scanner:
-    """Families in the order of the weights, intercepts, n-grams with weights, and the believed probability."""
+    """Families in the order of the weights, intercepts, n-grams with weights, the believed probability and the temperature."""
 
     families: list[str]
     intercepts: list[float]
     weights: dict[str, list[float]]
-    believed: float
+    believed: float = 0.5
+    temperature: float = 1.0
 
     def anchors(self) -> list[str]:
         """For each n-gram its longest word that is not common: a paragraph without any of them has no weighted n-gram."""
         return sorted({max((w for w in g.split() if w not in COMMON), key=lambda w: (not w.isdigit(), len(w), w)) for g in self.weights})
 
 
+#: Temperatures among which calibration chooses.
+TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 0.85, 1.0, 1.2, 1.4, 1.7, 2.0, 2.8, 4.0]
+
+
 def train(spark: SparkSession, labelled: DataFrame | None = None, vocabulary: int = 4096, penalty: float = 0.0003, false_rate: float = 0.002) -> Scanner:
-    """A scanner from labelled paragraphs (text, family); by default those of ``examples``. One row in five calibrates."""
+    """A scanner from labelled paragraphs (text, family); by default those of ``examples``. One row in five calibrates.
+
+    ``false_rate`` is the share of unknown rows that may be taken for a licence.
+    """
     if labelled is None:
         labelled = spark.createDataFrame(examples(), "text string, family string")
     rows = labelled.select("family", F.filter(ngrams(words("text")), lambda g: F.exists(F.split(g, " "), lambda w: ~w.isin(*sorted(COMMON)) & ~w.rlike("^[0-9]+$"))).alias("grams"), (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("out"))
@@ -129,52 +139,82 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, vocabulary: in
     fit = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=80).fit(counter.transform(rows.where("not out")))
     by_gram = zip(counter.vocabulary, fit.coefficientMatrix.toArray().T.tolist(), strict=True)
     weights = {g: w for g, w in by_gram if any(w)}
-    scanner = Scanner(families, [float(x) for x in fit.interceptVector], weights, 0.5)
-    kept_out = score(rows.where("out").select(F.monotonically_increasing_id().alias("id"), "family", "grams"), scanner, ["id", "family"])
-    wrong = kept_out.where(F.col("best") != F.col("family")).agg(F.percentile_approx("probability", 1 - false_rate)).first()[0]
-    return Scanner(families, scanner.intercepts, weights, min(0.95, max(0.5, wrong or 0.0)))
+    return calibrated(Scanner(families, [float(x) for x in fit.interceptVector], weights), rows.where("out"), false_rate)
 
 
-def score(rows: DataFrame, scanner: Scanner, by: list[str]) -> DataFrame:
-    """``by`` with the likeliest family (``best``) and its ``probability``, for rows with an array ``grams``."""
+def calibrated(scanner: Scanner, kept_out: DataFrame, false_rate: float) -> Scanner:
+    """The scanner with temperature and believed probability from rows (family, label, grams) that it was not fitted to."""
+    at = logits(kept_out.select(F.monotonically_increasing_id().alias("id"), "label", "grams"), scanner, ["id", "label"])
+    loss = lambda t: F.log(F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp((z - F.array_max("z")) / t))) - (F.get("z", F.col("label").cast("int")) - F.array_max("z")) / t
+    losses = at.agg(*[F.avg(loss(t)) for t in TEMPERATURES]).first()
+    found = [(x, t) for x, t in zip(losses, TEMPERATURES, strict=True) if x is not None]
+    warm = replace(scanner, temperature=min(found)[1] if found else 1.0)
+    # What each unknown row asks for to be taken for a licence: nothing if its likeliest class is the unknown one.
+    asked = rated(at, warm, ["id", "label"]).where("label = 0").select(F.when(F.col("best") == UNKNOWN, 0.0).otherwise(F.col("probability")).alias("p"))
+    least = asked.agg(F.percentile_approx("p", 1 - false_rate, 100000)).first()[0]
+    return replace(warm, believed=max(0.5, least or 0.0))
+
+
+def logits(rows: DataFrame, scanner: Scanner, by: list[str], triples: bool = False) -> DataFrame:
+    """``by`` and the scores ``z`` of the families, for rows with an array ``grams`` of distinct n-grams.
+
+    Rows alike in ``by`` are copies of one and count once. With ``triples`` there is also ``shared``, the number of the n-grams
+    that are word triples of each family's template.
+    """
     spark, k = rows.sparkSession, len(scanner.families)
-    # A row for each n-gram with a weight, at most the vocabulary, which bounds the broadcast
-    table = spark.createDataFrame([(g, w) for g, w in sorted(scanner.weights.items())] or [("", [0.0] * k)], "gram string, w array<double>")
-    hits = rows.select(*by, F.explode_outer("grams").alias("gram")).join(F.broadcast(table), "gram", "left")
-    sums = hits.groupBy(*by).agg(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)])
-    logits = F.array(*[F.col(f"s{i}") + F.lit(b) for i, b in enumerate(scanner.intercepts)])
-    at = sums.select(*by, logits.alias("z")).withColumn("top", F.array_max("z"))
-    likely = F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda t, z: t + F.exp(z - F.col("top")))
-    names = F.array(*map(F.lit, scanner.families))
-    return at.select(*by, F.element_at(names, F.array_position("z", F.col("top")).cast("int")).alias("best"), F.round(likely, 6).alias("probability"))
+    known: dict[str, set[int]] = {}
+    for family, texts in templates().items() if triples else ():
+        for w in map(plain_words, texts):
+            for n in range(len(w) - 2):
+                if family in scanner.families:
+                    known.setdefault(" ".join(w[n : n + 3]), set()).add(scanner.families.index(family))
+    # A row for each n-gram with a weight and each triple of a template, at most the vocabulary and the templates: a bounded broadcast
+    entries = [(g, scanner.weights.get(g), sorted(known.get(g, ()))) for g in sorted({*scanner.weights, *known})]
+    table = spark.createDataFrame(entries or [("", None, [])], "gram string, w array<double>, t array<int>")
+    hits = rows.select(*by, F.posexplode_outer("grams").alias("at", "gram")).join(F.broadcast(table), "gram", "left")
+    copies = F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0))
+    sums = [F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) / copies + F.lit(b) for i, b in enumerate(scanner.intercepts)]
+    shared = [F.sum(F.when(F.array_contains("t", i), 1).otherwise(0)) / copies for i in range(k)] if triples else []
+    at = hits.groupBy(*by).agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)], *[x.alias(f"t{i}") for i, x in enumerate(shared)])
+    arrays = [F.array(*[f"s{i}" for i in range(k)]).alias("z")] + ([F.array(*[f"t{i}" for i in range(k)]).alias("shared")] if triples else [])
+    return at.select(*by, *arrays)
+
+
+def rated(at: DataFrame, scanner: Scanner, by: list[str]) -> DataFrame:
+    """``by`` with the likeliest family (``best``), its ``place`` and its ``probability``, from scores ``z``."""
+    likely = F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda t, z: t + F.exp((z - F.array_max("z")) / scanner.temperature))
+    at = at.select(*by, F.array_position("z", F.array_max("z")).cast("int").alias("place"), F.round(likely, 6).alias("probability"))
+    return at.withColumn("best", F.element_at(F.array(*map(F.lit, scanner.families)), F.col("place")))
+
+
+def score(rows: DataFrame, scanner: Scanner, by: list[str]) -> DataFrame:
+    """``by`` with the likeliest family (``best``) and its ``probability``, for rows with an array ``grams``; copies count once."""
+    return rated(logits(rows, scanner, by), scanner, by).select(*by, "best", "probability")
 
 
 def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """doc_id, row key, ``line`` (from 0), ``family``, ``probability``, ``matched`` and ``confirmed`` of each believed paragraph.
+    """Row key, ``line`` (from 0), ``family``, ``probability``, ``matched`` and ``confirmed`` of each believed paragraph.
 
     A paragraph without an anchor word cannot score otherwise than an empty one, which is of the unknown class; so only those
-    with one go on to the n-grams.
+    with one go on to the n-grams. Confirmed: three word triples of the template, or all that a short paragraph has. Rows alike
+    in doc_id and text are one.
     """
-    lines = docs.select("doc_id", *row_key(), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    anchored = lines.select("doc_id", *KEY, "line", words("paragraph").alias("words")).where(F.arrays_overlap("words", F.array(*map(F.lit, scanner.anchors()))))
-    by = ["doc_id", *KEY, "line", "words"]
-    rated = score(anchored.select(*by, ngrams(F.col("words")).alias("grams")), scanner, by)
-    believed = rated.where((F.col("best") != UNKNOWN) & (F.col("probability") >= scanner.believed))
-    spark = docs.sparkSession
-    triples = {f: sorted({" ".join(w[i : i + 3]) for t in texts for w in [plain_words(t)] for i in range(len(w) - 2)}) for f, texts in templates().items()}
-    known = spark.createDataFrame(list(triples.items()), "best string, template array<string>")
-    at = believed.join(F.broadcast(known), "best", "left").withColumn("own", ngrams(F.col("words"), (3,)))
-    matched = F.size(F.array_intersect("own", F.coalesce("template", F.array().cast("array<string>"))))
-    at = at.withColumn("matched", matched)
-    enough = (F.col("matched") >= 3) | ((F.col("matched") >= 1) & (F.col("matched") == F.size("own")))
-    return at.select("doc_id", *KEY, "line", F.col("best").alias("family"), "probability", "matched", enough.alias("confirmed"))
+    lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
+    anchored = lines.select(*KEY, "line", words("paragraph").alias("words")).where(F.arrays_overlap("words", F.array(*map(F.lit, scanner.anchors()))))
+    by = [*KEY, "line", "own"]
+    at = anchored.select(*KEY, "line", F.size(ngrams(F.col("words"), (3,))).alias("own"), ngrams(F.col("words")).alias("grams"))
+    at = logits(at, scanner, by, triples=True)
+    found = rated(at, scanner, [*by, "shared"]).where((F.col("best") != UNKNOWN) & (F.col("probability") >= scanner.believed))
+    found = found.withColumn("matched", F.round(F.element_at("shared", F.col("place"))).cast("int"))
+    enough = (F.col("matched") >= 3) | ((F.col("matched") >= 1) & (F.col("matched") == F.col("own")))
+    return found.select(*KEY, "line", F.col("best").alias("family"), "probability", "matched", enough.alias("confirmed"))
 
 
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """doc_id, n_paragraphs, n_believed, n_confirmed, ``families`` (confirmed ones, comma-joined, in order) and max_probability.
 
-    A row for each row of ``docs``; null and empty texts have no paragraph. Rows alike in doc_id and text get the same result.
-    Other columns are neither read nor returned. An empty table gives an empty result.
+    A row for each row of ``docs``; null and empty texts have no paragraph, and of very long ones each line is judged by itself.
+    Rows alike in doc_id and text get the result of one of them; null doc_ids are like others. Other columns are neither read nor returned. An empty table gives an empty result.
     """
     found = paragraphs(docs, scanner)
     each = found.groupBy(*KEY).agg(
