@@ -1,6 +1,7 @@
 """Secrets in every form, whole: the finding and what is left after redaction."""
 
 import random
+import re
 
 import pytest
 
@@ -47,6 +48,54 @@ def test_candidates_are_whole(rows):
     assert {name: got.get(i) for i, name in enumerate(VALUES)} == {name: [value] for name, (_, value) in VALUES.items()}
 
 
+def plain_candidates(text, around=secrets.AROUND):
+    """Every match with what stands on both sides, up to the match before and after."""
+    found = list(re.finditer(secrets.CANDIDATE, text))
+    out = []
+    for k, m in enumerate(found):
+        before = text[found[k - 1].start() if k else 0 : m.start()]
+        after = text[m.end() : found[k + 1].end() if k + 1 < len(found) else len(text)]
+        name = re.match(secrets.VALUE, m.group())
+        value = m.group()[name.end() :] or m.group()
+        out.append((k, value, before[-around:] + m.group()[: len(m.group()) - len(value)], after[:around]))
+    return out
+
+
+def test_candidates_against_plain(spark):
+    """Over whole documents and planted forms, each occurrence with its own surroundings."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    key = pick(40, B64[:62])
+    texts += [f'a token = "{key}" b {key} c token: {key}', "postgres://bob:s3cr3t!x@db.local/a and https://eve:pw@host", "password: hunter2 and pwd=abcdef", "no://one:here", "", f"{key}{key} {key}"]
+    got = {}
+    df = spark.createDataFrame([(i, t, None, "src", 7) for i, t in enumerate(texts)], SCHEMA)
+    for r in secrets.candidates(df).collect():
+        got.setdefault(r.doc_id, []).append((r.place, r.value, r.before, r.after))
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, t in enumerate(texts) if (x := plain_candidates(t))}
+    assert sum(map(len, got.values())) > 10
+
+
+def test_each_occurrence_is_judged(spark):
+    """A value that first stands as a checksum and later as a token is a secret; so are passwords of URLs and short ones."""
+    digest = pick(40, "0123456789abcdef")
+    texts = [f'commit {digest} fixed it. {"The old ferry left its harbour. " * 4}token = "{digest}" was set.', "See postgres://svc:q7Zp2w9LxT@db.local/main for it.", "The password: hunter2 works.", "The password: required for all."]
+    model = secrets.train(spark)
+    df = spark.createDataFrame([(i, t, None, "src", 7) for i, t in enumerate(texts)], SCHEMA)
+    left = {r.doc_id: r.text for r in secrets.redacted(df, model).collect()}
+    assert digest not in left[0] and left[1] == "See postgres://svc:[SECRET]@db.local/main for it." and left[2] == "The password: [SECRET] works." and left[3] == texts[3]
+    report = {r.doc_id: r for r in secrets.report(df, model).collect()}
+    assert report[0].n_candidates == 2 and report[0].n_secrets == 1
+
+
+def test_recall_on_documents(spark):
+    """Every planted token of the test table is found, and documents without a credential's name stay as they are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    left = {r.doc_id: r.text for r in secrets.redacted(docs, secrets.train(spark)).collect()}
+    for r in docs.collect():
+        planted = re.findall(r'(?i)token = "([^"]+)"', r.text)
+        assert all(p not in left[r.doc_id] for p in planted)
+        assert planted or left[r.doc_id] == r.text
+
+
 def test_nothing_of_them_is_left(spark, rows):
     model = secrets.train(spark)
     left = {name: r.text for name, r in zip(VALUES, sorted(secrets.redacted(rows, model).collect()), strict=True)}
