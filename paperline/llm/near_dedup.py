@@ -1,20 +1,24 @@
-"""Near copies by word shingles: MinHash bands for candidates, the exact Jaccard similarity after them.
-
-A text is the set of its five-word shingles. ``BANDS`` bands of ``ROWS`` minima each make a pair of similarity s meet with
-probability 1 - (1 - s^ROWS)^BANDS, which at 0.8 is all but about three in a million. Every member of a band's bucket is tested
-against the bucket's head; verified links make classes, and then all pairs of a bucket that lie in different classes are tested
-too, so a large group of copies costs a test for each member, and no pair of a bucket is passed over.
+"""Operator 1 at a stated similarity: SimHash near copies whose shingle sets are verified by their Jaccard similarity.
+
+A text is the set of its five-word shingles. Candidates are the texts that operator 1 links: equal fingerprints of these shingles,
+and those that its grid range join finds within three bits. At a similarity of 0.8 two fingerprints differ in some ten of 64 bits,
+which no grid can reach, so most such pairs would be lost; therefore texts also meet by minima of their shingles' hashes:
+``BANDS`` bands of ``ROWS`` minima each make a pair of similarity s meet with probability 1 - (1 - s^ROWS)^BANDS, which at 0.8 is
+all but about three in a million. Every member of a bucket (equal fingerprints or a band) is tested against the bucket's head;
+verified links make classes, and then all pairs of a bucket that lie in different classes are tested too, so a large group of
+copies costs a test for each member, and no pair of a bucket is passed over.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, columns, row_key, spread_join, written
+from . import simhash
+from .common import KEY, fields, mapped, one_of_each, row_key, spread_join, written
 from .simhash import SEED, components
 
 BANDS, ROWS = 24, 4
@@ -24,14 +28,8 @@ SLICE = 1 << 13
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """The distinct 64-bit hashes of a text's shingles, in order; one for a text of fewer words, zero for one without a word."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(1, np.uint64)
-    line, digest = b" ".join(found), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(found) - words + 1)]
-    pieces = zip(starts.tolist(), ends[min(words, len(found)) - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in pieces), np.uint64, len(starts)))
+    hashes = simhash.shingle_hashes(text, words)
+    return np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -48,28 +46,34 @@ def bands(hashes: np.ndarray) -> list[int]:
 def similar(pairs: DataFrame, ids: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (u, v) of row ids whose shingle sets have a Jaccard similarity of ``least`` or more, written."""
 
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, words).view(np.int64) for t in texts])
+    def of(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, words).view(np.int64) for t in part["text"].to_pylist()]
+        ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([part["rid"], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["rid", "s"])
 
     used = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
     keys = used.join(ids.select("rid", *KEY), "rid")
     texts = docs.select(*row_key(), "text").join(keys, KEY).dropDuplicates(["rid"])
-    sets = written(texts.select("rid", of("text").alias("s")), "shingles")
+    sets = written(mapped(texts.select("rid", "text"), "rid long, s array<long>", of), "shingles")
     at = pairs.join(sets.select(F.col("rid").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("rid").alias("v"), F.col("s").alias("b")), "v")
     both = at.select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("n"))
     return written(both.where(F.col("both") >= least * (F.col("n") - F.col("both")) - 1e-9).select("u", "v"), "links")
 
 
-def links(ids: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """Verified pairs (u < v) of row ids whose classes are those of all pairs that meet in a band; ``ids`` is written."""
-    rows = ids.select("rid", "n", F.explode("bands").alias("band"))
-    groups = written(rows.groupBy("band").agg(F.min_by("n", "rid").alias("head_n"), F.min("rid").alias("head"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = written(spread_join(rows, groups, ["band"], "size").select("band", "rid", "n", "head", "head_n"), "members")
+def links(ids: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
+    """Verified pairs (u < v) of row ids whose classes are those of all candidate pairs; ``ids`` is written."""
+    rows = ids.select("rid", "n", F.explode(F.concat(F.array(F.xxhash64(F.lit("fp"), "fp")), "bands")).alias("band"))
+    groups = rows.groupBy("band").agg(F.min_by("n", "rid").alias("head_n"), F.min("rid").alias("head"), F.count("*").alias("size")).where("size > 1")
+    members = written(spread_join(rows, written(groups, "buckets"), ["band"], "size").select("band", "rid", "n", "head", "head_n"), "members")
     # Sets whose sizes differ by more than this can't be so similar.
     fits = lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9
-    star = members.where((F.col("rid") != F.col("head")) & fits(F.col("n"), F.col("head_n")))
-    star = written(star.select(F.col("head").alias("u"), F.col("rid").alias("v")).distinct(), "pairs")
+    star = members.where((F.col("rid") != F.col("head")) & fits(F.col("n"), F.col("head_n"))).select(F.col("head").alias("u"), F.col("rid").alias("v"))
+    # One text stands for each fingerprint; the others of it are in its bucket.
+    points = written(ids.groupBy("fp").agg(F.min("rid").alias("rid"), F.min_by("n", "rid").alias("n")), "points")
+    of = lambda side: points.select(F.col("fp").alias(side), F.col("rid").alias(f"{side}_rid"), F.col("n").alias(f"{side}_n"))
+    near = simhash.links(points.select("fp"), radius).join(of("u"), "u").join(of("v"), "v").where(fits(F.col("u_n"), F.col("v_n")))
+    near = near.select(F.least("u_rid", "v_rid").alias("u"), F.greatest("u_rid", "v_rid").alias("v"))
+    star = written(star.union(near).distinct(), "pairs")
     found = similar(star, ids, docs, words, least)
     roots = components(found)
     at = members.join(roots, members.rid == roots.node, "left").withColumn("root", F.coalesce("root", "rid")).where("rid != head")
@@ -85,19 +89,22 @@ def dedup(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class of linked texts (smallest doc_id), with the columns of ``docs``.
 
     Texts are compared with ASCII letters in lower case. Texts without a word (null and empty ones too) are alike; a text of
-    fewer than ``words`` words is one shingle. Of rows alike in doc_id and text one stays at most; a null doc_id comes last. An
-    empty table gives an empty result.
+    fewer than ``words`` words is one shingle. Minima of very long texts are taken some shingles at a time. Of rows alike in
+    doc_id and text one stays at most, the first by their other columns; a null doc_id comes last. An empty table gives an
+    empty result.
     """
+    names = ["rid", "doc_id", *KEY]
 
-    @F.pandas_udf("n int, bands array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, words) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in sets], "bands": [bands(s) for s in sets]})
+    def of(part: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [simhash.shingle_hashes(t, words) for t in part["text"].to_pylist()]
+        fps = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
+        sets = [np.unique(h) if len(h) else np.zeros(1, np.uint64) for h in hashes]
+        counts = pa.array(np.array([len(s) for s in sets], np.int32))
+        return pa.RecordBatch.from_arrays([*[part[c] for c in names], pa.array(fps), counts, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], [*names, "fp", "n", "bands"])
 
-    signed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *row_key(), of("text").alias("x"))
-    ids = written(signed.select("rid", "doc_id", *KEY, "x.n", "x.bands"), "signatures")
+    at = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *row_key(), "text")
+    ids = written(mapped(at, f"{fields(at, *names)}, fp long, n int, bands array<long>", of), "signatures")
     roots = components(links(ids, docs, words, least))
     at = ids.join(roots, ids.rid == roots.node, "left").withColumn("root", F.coalesce("root", "rid"))
     keep = at.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("first")).select("first.*").select(*KEY).distinct()
-    keyed = docs.select("*", *row_key()).dropDuplicates(KEY)
-    return keyed.join(keep, KEY).select(*columns(docs))
+    return one_of_each(docs, keep)

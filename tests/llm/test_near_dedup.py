@@ -4,12 +4,7 @@ import itertools
 
 import corpus_pipeline
 
-from .test_llm import LONG, SCHEMA, SF, WORDS
-
-
-def plain_shingles(text, k=5):
-    w = bytes(text or "", "utf-8").lower().split()
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+from .test_llm import LONG, SCHEMA, SF, WORDS, plain_shingles
 
 
 def plain_kept(texts, least=0.8):
