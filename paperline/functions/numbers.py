@@ -25,7 +25,7 @@ def fix_digits(token: str | Column) -> Column:
 
 def parse_amount(text: str | Column) -> Column:
     """NUM-02: spaces between thousands, comma or point before one to three decimals; else null."""
-    t = F.regexp_replace(F.regexp_replace(col(text), rf"[\s{NBSP}]", ""), "[‚،]", ",")
+    t = F.regexp_replace(F.regexp_replace(col(text), "(?U)[\\s\ufeff]", ""), "[‚،]", ",")
     return F.when(t.rlike(r"^[0-9]+([.,][0-9]{1,3})?$"), F.translate(t, ",", ".").try_cast("double"))
 
 
@@ -88,14 +88,14 @@ def sum_tolerance(qty: Column) -> Column:
 
 
 def sum_matches(total: Column, qty: Column, price: Column, tol: Column | None = None) -> Column:
-    """NUM-11: within tolerance; a whole sum for a broken quantity; or spoilt cents beside a whole product."""
+    """NUM-11: within tolerance; the whole sum of a broken quantity, rounded; or spoilt cents beside a whole product of a whole quantity."""
     product = qty * price
+    cents_of, whole = round2(product), qty == F.floor(qty)
     tol = sum_tolerance(qty) if tol is None else tol
-    whole_product = F.abs(product - F.round(product)) < 0.005
     return F.coalesce(
-        (F.abs(total - product) <= tol)
-        | ((qty != F.floor(qty)) & (total == F.floor(total)) & (F.abs(total - product) <= 0.5))
-        | (whole_product & (F.floor(total) == F.round(product))),
+        (F.abs(total - cents_of) <= tol + 1e-9)
+        | (~whole & (total == F.floor(total)) & (total == F.floor(product + 0.5)))
+        | (whole & (cents_of == F.floor(cents_of)) & (F.floor(total) == cents_of)),
         F.lit(False),
     )
 
@@ -199,3 +199,29 @@ def read_values(text: str | Column, role: str) -> Column:
     read = F.concat(amount_variants(best["value"], best["text"], best["has_decimals"]), cut)
     known = F.coalesce(grouped, lost_comma, third)
     return F.when(t.isNull() | (F.size(found) == 0) & known.isNull(), none).otherwise(F.coalesce(known, read))
+
+
+#: Signs of ruled lines and quotes around a number, and letters that stand for one digit before a unit.
+CELL_JUNK = r"[|«»\"'`’“”_\[\]{}()*~=]"
+UNIT_TAIL = r"(?i)^(.*[0-9].*?)[\s]*(бутылка|бут|блок|шт|кор|уп|кг|гр|л|м)\.?$"
+LONE_LETTERS, LONE_DIGITS = "$SsЗзбOОlI|", "55533600111"
+
+
+def number_cell(raw: str | Column) -> Column:
+    """NUM-23: (num, unit) of a cell with a number and perhaps a unit behind it; null if it is none, or a code of ten digits."""
+    t = F.regexp_replace(F.regexp_replace(col(raw), CELL_JUNK, " "), r"(^|\s)-+|-+(?=\s|$)", " ")
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"^[‚\s]+|[‚\s]+$", ""), r"\s+", " "))
+    lone = F.regexp_extract(t, r"(?i)^([$SsЗзбOОlI|])\s+(бутылка|бут|блок|шт|кор|уп|кг|гр|л|м)\.?$", 2)
+    unit = F.when(t.rlike(UNIT_TAIL), F.regexp_extract(t, UNIT_TAIL, 2)).when(lone != "", lone)
+    bare = F.when(t.rlike(UNIT_TAIL), F.trim(F.regexp_extract(t, UNIT_TAIL, 1))).when(lone != "", F.translate(F.substring(t, 1, 1), LONE_LETTERS, LONE_DIGITS)).otherwise(t)
+    num = fix_digits(bare)
+    code = F.exists(F.split(num, r"\s+"), lambda x: F.char_length(F.regexp_replace(x, "[^0-9]", "")) >= 10)
+    return F.when(num.rlike(r"^[0-9\s.,]+$") & num.rlike("[0-9]") & ~code, F.struct(num.alias("num"), unit.alias("unit")))
+
+
+def format_quantity(qty: str | Column) -> Column:
+    """NUM-19: a quantity with spaces between thousands, a comma and three decimals at most."""
+    q = col(qty)
+    whole = F.translate(F.format_number(F.floor(F.abs(round3(q))), 0), ",", NBSP)
+    part = F.rtrim(F.lpad(F.round((F.abs(round3(q)) - F.floor(F.abs(round3(q)))) * 1000).cast("int").cast("string"), 3, "0"), F.lit("0"))
+    return F.concat(F.when(round3(q) < 0, "-").otherwise(""), whole, F.when(part != "", F.concat(F.lit(","), part)).otherwise(""))

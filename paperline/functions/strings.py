@@ -180,3 +180,33 @@ def base64url_json(value: Column) -> Column:
 def page_text(lines: Column) -> Column:
     """STR-29."""
     return F.array_join(F.transform(lines, lambda x: x["text"]), "\n")
+
+
+#: Legal forms left out of a supplier's sort key.
+LEGAL_FORMS = "Филиал|ТОО|АО|ИП|ТК|Компания|[\"«»]"
+
+
+def supplier_sort_key(name: str | Column) -> Column:
+    """STR-27."""
+    return F.trim(F.regexp_replace(col(name), LEGAL_FORMS, ""))
+
+
+def plural(n: str | Column, one: str, few: str, many: str) -> Column:
+    """STR-26: the Russian form that goes with a number."""
+    tens, last = F.pmod(col(n), F.lit(100)), F.pmod(col(n), F.lit(10))
+    teen = tens.between(11, 14)
+    return F.when((last == 1) & ~teen, one).when(last.between(2, 4) & ~teen, few).otherwise(many)
+
+
+def strip_trailing_quantity(name: str | Column, qty: str | Column, no_codes: bool = False) -> Column:
+    """STR-18: a name without the row's quantity (three decimals, or whole if there is no code column) or unit at its end."""
+    n, q = col(name), col(qty)
+    if no_codes:
+        n = F.regexp_replace(n, r"(?iu)\s+(?:блок|бут|шт|уп|кор)(?![А-Яа-яA-Za-z])[^А-Яа-яA-Za-z]*$", "")
+        n = F.trim(F.regexp_replace(n, r"\s+[ШЦЩ|!]$", ""))
+        last = F.regexp_extract(n, r"\s([0-9]{1,3})$", 1)
+        n = F.when(F.coalesce(last.try_cast("double") == q, F.lit(False)), F.regexp_replace(n, r"\s+[0-9]{1,3}$", "")).otherwise(n)
+        n = F.when(q.isNotNull(), F.regexp_replace(n, r"^[A-Za-z]\s+(?=[А-ЯЁ])", "")).otherwise(n)
+    tail = r"\s+([0-9]{1,4}[.,][0-9]{3})(?:\s+[^\s0-9]{1,4})?$"
+    same = F.translate(F.regexp_extract(n, tail, 1), ",", ".").try_cast("double") == q
+    return F.when(F.coalesce(same, F.lit(False)), F.trim(F.regexp_replace(n, tail, ""))).otherwise(n)

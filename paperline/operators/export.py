@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cents, round2
@@ -70,3 +70,53 @@ def handoff(lines: DataFrame, base: str = "") -> DataFrame:
     body = F.struct(F.lit(1).alias("v"), F.transform(F.array_sort(F.collect_list(line)), lambda x: x.dropFields("n")).alias("items"))
     docs = lines.groupBy("doc_id").agg(body.alias("body"))
     return docs.select("doc_id", F.concat(F.lit(f"{base}#/invoice?d="), base64url_json(F.col("body"))).alias("link"))
+
+
+#: Labels of the export's columns.
+LABELS = {"barcode": "Barcode", "qty": "Quantity", "price": "Price", "name": "Name", "sum": "Sum", "code": "Code", "unit": "Unit"}
+#: Longest name of a sheet, and of the supplier in it.
+SHEET_NAME, SUPPLIER_NAME = 31, 24
+
+
+def labelled(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """PRJ-02: the chosen columns in their order, under their labels."""
+    return lines.select(*[F.col(c).alias(LABELS[c]) for c in columns])
+
+
+def sheet_names(docs: DataFrame) -> DataFrame:
+    """LIM-03: doc_id and ``sheet``: supplier and number, cut to 31 characters, with a number behind later ones of the same name.
+
+    Numbers are dealt within a name, so no document waits for all others; a suffix that meets another document's own name
+    is not looked for.
+    """
+    name = F.concat(F.substring(F.regexp_replace(F.coalesce("supplier", F.lit("Invoice")), r'[\\/?*\[\]:"]', ""), 1, SUPPLIER_NAME), F.coalesce(F.concat(F.lit(" "), "number"), F.lit("")))
+    at = docs.select("doc_id", "ord", F.substring(name, 1, SHEET_NAME).alias("_name"))
+    k = F.row_number().over(Window.partitionBy("_name").orderBy("ord"))
+    return at.withColumn("_k", k).select("doc_id", F.when(F.col("_k") == 1, F.col("_name")).otherwise(F.concat(F.substring("_name", 1, 28), F.lit(" "), F.col("_k").cast("string"))).alias("sheet"))
+
+
+def report_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """SNK-03: rows of the report: sheet, kind (head, item, rows total, document total), n and the columns of its table.
+
+    ``remarks`` joins what the barcode was taken from, what stood on the paper, and the issues above information (those about check
+    digits only for barcodes from the paper). ``docs``: doc_id, ord, supplier, number, date, total; ``items``: issues (array of
+    level, kind, text), orig and more.
+    """
+    said = F.filter("issues", lambda x: (x["level"] != "info") & ~(x["kind"].eqNullSafe("ean") & ~F.coalesce(F.col("barcode_source") == "invoice", F.lit(False))))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    paper = F.when(F.col("orig").isNotNull(), F.concat_ws(" ", F.lit("On paper:"), text(F.col("orig.qty")), F.col("orig.unit"), F.lit("at"), text(F.col("orig.price"))))
+    source = F.when(F.col("barcode_source") == "catalog", F.lit("Barcode filled from the catalogue, check it"))
+    remarks = F.concat_ws("; ", source, paper, F.array_join(F.transform(F.coalesce(said, F.array().cast("array<struct<level:string,kind:string,text:string>>")), lambda x: x["text"]), "; "))
+    other_name = F.when(F.col("invoice_name") != F.col("name"), F.col("invoice_name"))
+    names = sheet_names(docs)
+    rows = items.join(names, "doc_id").select("doc_id", "sheet", F.lit("item").alias("kind"), "n", "barcode", "code", "name", other_name.alias("invoice_name"), "unit", "qty", "price", "sum", F.regexp_replace(remarks, "; $", "").alias("remarks"))
+    head = docs.join(names, "doc_id").select("doc_id", "sheet", F.lit("head").alias("kind"), F.concat_ws(" | ", F.coalesce("supplier", F.lit("")), F.coalesce("number", F.lit("")), F.coalesce(F.col("date").cast("string"), F.lit(""))).alias("name"))
+    foot = items.groupBy("doc_id").agg((F.sum(F.coalesce(cents("sum"), F.lit(0))) / 100).alias("sum")).join(names, "doc_id").select("doc_id", "sheet", F.lit("rows total").alias("kind"), "sum")
+    total = docs.where("total is not null").join(names, "doc_id").select("doc_id", "sheet", F.lit("document total").alias("kind"), F.col("total").alias("sum"))
+    return rows.unionByName(head, True).unionByName(foot, True).unionByName(total, True)
+
+
+def wrong_types(lines: DataFrame) -> list[str]:
+    """QA-06: columns of the export that are not of their kind: quantities, prices and sums are numbers, all else is text."""
+    numbers = {"qty", "price", "sum"}
+    return [c for c, t in lines.dtypes if c in COLUMNS and (c in numbers) != (t in ("double", "float", "int", "bigint") or t.startswith("decimal"))]

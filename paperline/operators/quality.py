@@ -75,3 +75,30 @@ def ready(summary: DataFrame) -> DataFrame:
 def quantity_by_unit(items: DataFrame) -> DataFrame:
     """AGG-05."""
     return items.groupBy("doc_id", F.coalesce("unit", F.lit("")).alias("unit")).agg(F.sum(F.coalesce("qty", F.lit(0.0)).cast("decimal(18,3)")).alias("qty"))
+
+
+def paper_quantity(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """AGG-06: doc_id, ``on_paper`` (quantities before any conversion) and ``agrees`` with the printed quantity total."""
+    qty = F.when(F.col("orig").isNotNull(), F.col("orig.qty")).otherwise(F.col("qty"))
+    sums = items.groupBy("doc_id").agg(F.sum(F.coalesce(qty, F.lit(0.0)).cast("decimal(18,3)")).cast("double").alias("on_paper"))
+    at = docs.select("doc_id", "total_qty").join(sums, "doc_id", "left")
+    return at.select("doc_id", F.coalesce("on_paper", F.lit(0.0)).alias("on_paper"), F.coalesce(F.abs(F.col("total_qty") - F.coalesce("on_paper", F.lit(0.0))) < 0.0005, F.lit(False)).alias("agrees"))
+
+
+def rows_by_unit(items: DataFrame) -> DataFrame:
+    """AGG-07: doc_id, unit (empty: none) and its rows in order; a document's rows are few."""
+    return items.groupBy("doc_id", F.coalesce("unit", F.lit("")).alias("unit")).agg(F.sort_array(F.collect_list("n")).alias("rows"))
+
+
+def filled_and_partial(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """AGG-08: doc_id, ``filled`` (barcodes from the catalogue) and ``partial``: a printed total over 1.3 times the rows' sum."""
+    each = items.groupBy("doc_id").agg(F.count_if(F.col("barcode_source") == "catalog").alias("filled"), F.sum(F.coalesce(cents("sum"), F.lit(0))).alias("c"))
+    at = docs.select("doc_id", "total").join(each, "doc_id", "left")
+    partial = (F.col("c") > 0) & (F.col("total") * 100 > F.col("c") * 1.3)
+    return at.select("doc_id", F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce(partial, F.lit(False)).alias("partial"))
+
+
+def barcode_origin(suppliers: DataFrame) -> DataFrame:
+    """QA-05: where a supplier's barcodes come from, by the kind of its ``code`` column: ean, none, or own codes (null: own)."""
+    kind = F.when(F.col("code") == "ean", "paper").when(F.col("code") == "none", "name").otherwise("once")
+    return suppliers.withColumn("barcode_from", kind)

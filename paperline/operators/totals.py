@@ -71,20 +71,42 @@ def fix_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
 def fill_row(docs: DataFrame, items: DataFrame) -> DataFrame:
     """TOT-05: the one weak row of a document gets what the total leaves for it.
 
-    Weak: no quantity or sum, or ``support`` of two or less. Its sum is the total less the other rows; the quantity is that sum
-    over the first read price (``prices``) that gives a whole one. Only a sole solution counts.
+    Weak: no quantity or sum, or ``support`` of two or less. Its sum is the total less the other rows; its digits must be those of a
+    read sum (``sums``), or part of them, or hold them, so that the total of other sheets is not forced into a row. The quantity is
+    that sum over the first read price (``prices``) that gives a whole one, or one in thousandths where goods are weighed; a row
+    without any price keeps its quantity. The sole whole solution counts, else the sole one.
     """
     doc = Window.partitionBy("doc_id")
     all_rows = F.sum(F.coalesce(cents("sum"), F.lit(0))).over(doc)
-    at = items.withColumn("_rest", all_rows - F.coalesce(cents("sum"), F.lit(0))).join(docs.select("doc_id", F.col("total").alias("_total")), "doc_id", "left")
+    broken = F.coalesce(F.col("qty") != F.floor("qty"), F.lit(False)).cast("int")
+    weighed = (F.col("unit").eqNullSafe("кг") if "unit" in items.columns else F.lit(False)) | (F.sum(broken).over(doc) - broken > 0)
+    at = items.withColumns({"_rest": all_rows - F.coalesce(cents("sum"), F.lit(0)), "_weighed": weighed}).join(docs.select("doc_id", F.col("total").alias("_total")), "doc_id", "left")
     weak = F.col("qty").isNull() | F.col("sum").isNull() | (F.coalesce("support", F.lit(3)) <= 2)
-    left = F.col("_total") - F.col("_rest") / 100
-    fits = F.filter(F.concat("prices", F.when(F.col("price") > 0, F.array("price")).otherwise(F.array().cast("array<double>"))), lambda p: (p > 0) & (F.abs(left / p - F.round(left / p)) < 1e-6))
-    at = at.withColumns({"_left": round2(left), "_price": F.when(weak & (left > 0), F.get(fits, F.lit(0)))})
-    at = at.withColumn("_hits", F.count("_price").over(Window.partitionBy("doc_id")))
-    fix = (F.col("_hits") == 1) & F.col("_price").isNotNull()
-    new = {"sum": F.when(fix, F.col("_left")).otherwise(F.col("sum")), "qty": F.when(fix, F.round(F.col("_left") / F.col("_price"))).otherwise(F.col("qty")), "price": F.when(fix, F.col("_price")).otherwise(F.col("price"))}
-    return at.withColumns(new | {"filled": fix}).drop("_rest", "_total", "_left", "_price", "_hits")
+    at = at.withColumn("_left", F.when(weak, round2(F.col("_total") - F.col("_rest") / 100))).withColumn("_left", F.when(F.col("_left") > 0, F.col("_left")))
+    read = F.transform(F.coalesce("sums", F.array().cast("array<double>")), _digits) if "sums" in items.columns else F.array().cast("array<string>")
+    own = _digits(F.col("_left"))
+    at = at.withColumn("_seen", F.exists(F.filter(read, lambda d: F.char_length(d) >= 2), lambda d: own.contains(d) | d.contains(own)))
+    prices = F.array_distinct(F.concat(F.coalesce("prices", F.array().cast("array<double>")), F.when(F.col("price") > 0, F.array("price")).otherwise(F.array().cast("array<double>"))))
+    left = F.col("_left")
+    ratio = lambda p: F.floor(left / p * 1000 + 0.5) / 1000
+    fits = F.filter(prices, lambda p: (p > 0) & (ratio(p) > 0) & (ratio(p) < 100000) & (F.abs(left / p - ratio(p)) < 1e-6))
+    whole = F.get(F.filter(fits, lambda p: ratio(p) == F.floor(ratio(p))), F.lit(0))
+    at = at.withColumn("_price", F.coalesce(whole, F.when(F.col("_weighed"), F.get(fits, F.lit(0)))))
+    priceless = (F.size(prices) == 0) & (F.col("qty") > 0)
+    solved = F.when(F.col("_seen") & F.col("_price").isNotNull(), F.struct(ratio(F.col("_price")).alias("q"), F.col("_price").alias("p")))
+    solved = F.coalesce(solved, F.when(F.col("_seen") & priceless, F.struct(F.col("qty").alias("q"), round2(left / F.col("qty")).alias("p"))))
+    at = at.withColumn("_x", solved)
+    is_whole = F.coalesce(F.col("_x.q") == F.floor("_x.q"), F.lit(False))
+    at = at.withColumns({"_whole": F.sum(is_whole.cast("int")).over(doc), "_hits": F.count("_x").over(doc)})
+    fix = F.col("_x").isNotNull() & F.when(F.col("_whole") == 1, is_whole).otherwise(F.col("_hits") == 1)
+    new = {"sum": F.when(fix, left).otherwise(F.col("sum")), "qty": F.when(fix, F.col("_x.q")).otherwise(F.col("qty")), "price": F.when(fix, F.col("_x.p")).otherwise(F.col("price"))}
+    return at.withColumns(new | {"filled": fix}).drop("_rest", "_weighed", "_total", "_left", "_seen", "_price", "_x", "_whole", "_hits")
+
+
+def _digits(amount: Column) -> Column:
+    """The digits of an amount, cents only if there are some."""
+    c = cents(amount)
+    return F.when(c % 100 == 0, (c / 100).cast("long").cast("string")).otherwise(c.cast("string"))
 
 
 def total_by_vat(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -115,3 +137,8 @@ def qty_by_total(docs: DataFrame, items: DataFrame) -> DataFrame:
     fix = F.col("_hit") & (F.col("_hits") == 1)
     new = {"qty": F.when(fix, new_qty).otherwise(F.col("qty")), "price": F.when(fix, round2(F.col("price") / F.col("_k"))).otherwise(F.col("price"))}
     return at.withColumns(new | {"shifted": fix}).drop("_want", "_diff", "_have", "_k", "_hit", "_hits")
+
+
+def fix_by_totals(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """TOT-08: (docs, items): the total restored by its VAT, then a shifted quantity by the quantity total."""
+    return total_by_vat(docs, items).drop("restored"), qty_by_total(docs, items)

@@ -76,14 +76,14 @@ def q16_fix_rows_by_total(spark, sf_dir):
     return totals.fix_rows(docs, read).select("doc_id", "n", cents("sum").alias("sum_cents"), "restored")
 
 
-@query(f"WITH {EXACT} SELECT doc_id, n, q AS qty, q * pc AS sum_cents, n = 1 AS filled FROM ex")
+@query(f"""WITH {EXACT} SELECT doc_id, n, CASE WHEN n > 1 OR doc_id % 4 > 0 THEN q END AS qty, CASE WHEN n > 1 OR doc_id % 4 > 0 THEN q * pc END AS sum_cents, n = 1 AND doc_id % 4 > 0 AS filled FROM ex""")
 def q17_fill_row(spark, sf_dir):
-    """The first row of each document has lost quantity and sum; the total gives both back."""
+    """The first row of each document has lost quantity and sum; the total gives both back where the sum's digits were read."""
     lines = _exact(spark, sf_dir)
     docs = totals.row_totals(lines).select("doc_id", F.col("rows_sum").alias("total"))
     lost = F.col("n") == 1
     none = F.array().cast("array<double>")
-    read = lines.select("doc_id", "n", F.when(~lost, F.col("qty")).alias("qty"), "price", F.when(~lost, F.col("sum")).alias("sum"), F.when(lost, 1).otherwise(3).alias("support"), F.when(lost, F.array("price")).otherwise(none).alias("prices"))
+    read = lines.select("doc_id", "n", F.when(~lost, F.col("qty")).alias("qty"), "price", F.when(~lost, F.col("sum")).alias("sum"), F.when(lost, 1).otherwise(3).alias("support"), F.when(lost, F.array("price")).otherwise(none).alias("prices"), F.when(lost & (F.col("doc_id") % 4 > 0), F.array("sum")).otherwise(none).alias("sums"))
     f = totals.fill_row(docs, read)
     return f.select("doc_id", "n", F.col("qty").cast("long").alias("qty"), cents("sum").alias("sum_cents"), "filled")
 
