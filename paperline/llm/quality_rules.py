@@ -11,11 +11,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from .common import BLANKS, columns
+from .common import BLANKS, fields, mapped
 
 SYMBOLS = "#*$%&|<>"
 #: Punctuation that a mangled line sticks to its words.
@@ -102,34 +101,44 @@ def measure(text: str | None, r: Rules = Rules()) -> tuple:
 
 SCHEMA = """n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean,
 n_lines_removed long, words_lost_punctuation long, words_lost_navigation long, words_lost_boilerplate long, cleaned string"""
+NAMES = [x.split()[0] for x in SCHEMA.split(",")]
 
 
-def judged(text: Column, rules: Rules = Rules()) -> Column:
-    """A struct of SCHEMA for each text."""
-    names = [x.split()[0] for x in SCHEMA.split(",")]
+def quality(docs: DataFrame, rules: Rules = Rules(), with_text: bool = True) -> DataFrame:
+    """doc_id, the base statistics, ``base_failed``, ``kept``, what the line rules removed, and the cleaned text.
 
-    @F.pandas_udf(SCHEMA)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t, rules) for t in texts], columns=names)
+    Null texts have no word and fail; so do empty ones and all with fewer than ``min_words`` words. Each row is judged by itself,
+    in one pass whose memory is that of its longest text, so repeated rows, ties and null doc_ids come back as they are. Other
+    columns are neither read nor returned. An empty table gives an empty result. Without ``with_text`` no text is returned.
+    """
+    names = NAMES if with_text else NAMES[:-1]
+    schema = f"{fields(docs, 'doc_id')}, {SCHEMA if with_text else SCHEMA.rpartition(',')[0]}"
 
-    return of(text)
+    def of(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = [measure(t, rules) for t in part["text"].to_pylist()]
+        kinds = [pa.bool_() if n in ("base_failed", "kept") else pa.string() if n == "cleaned" else pa.int64() for n in names]
+        return pa.RecordBatch.from_arrays([part["doc_id"], *[pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]], ["doc_id", *names])
 
+    return mapped(docs.select("doc_id", "text"), schema, of)
 
-def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, the base statistics, ``base_failed``, ``kept``, what the line rules removed, and the cleaned text.
 
-    Null texts have no word and fail; so do texts with fewer than ``min_words`` words. Each row is judged by itself, so repeated
-    rows and null doc_ids come back as they are. Other columns are neither read nor returned.
+def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that stay, with the columns of ``docs``: failed lines are gone from ``text``, ``n_chars`` follows.
+
+    Null, empty and short texts go (they fail the base rules), as do texts that lose too much; other columns, repeated rows and
+    null doc_ids pass as they are. An empty table gives an empty result.
     """
-    return docs.select("doc_id", judged(F.col("text"), rules).alias("q")).select("doc_id", "q.*")
+    kept, cleaned = NAMES.index("kept"), NAMES.index("cleaned")
+    at = docs.schema.names
 
+    def of(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(row, m[cleaned]) for row, t in enumerate(part["text"].to_pylist()) if (m := measure(t, rules))[kept]]
+        new = part.take(pa.array([row for row, _ in found], pa.int64()))
+        values = {"text": [t for _, t in found], "n_chars": [len(t) for _, t in found]}
+        arrays = [pa.array(values[c], new.schema.field(k).type) if c in values else new.column(k) for k, c in enumerate(at)]
+        return pa.RecordBatch.from_arrays(arrays, at)
 
-def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``: failed lines are gone from ``text``, ``n_chars`` follows."""
-    mark = "__judged"
-    new = {"text": F.col(f"{mark}.cleaned"), "n_chars": F.char_length(f"{mark}.cleaned").cast("long")}
-    kept = docs.withColumn(mark, judged(F.col("text"), rules)).where(f"{mark}.kept")
-    return kept.select(*[new[c].alias(c) if c in new else x for c, x in zip(docs.columns, columns(docs), strict=True)])
+    return mapped(docs, docs.schema, of)
 
 
 ORACLE = r"""

@@ -22,7 +22,7 @@ def op2_line_dedup(spark, sf_dir):
 
 
 def op3_quality_rules(spark, sf_dir):
-    return quality_rules.quality(table(spark, sf_dir, "documents")).drop("cleaned")
+    return quality_rules.quality(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op4_exact_dedup(spark, sf_dir):
