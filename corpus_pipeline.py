@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from paperline.llm import exact_dedup, near_dedup, packing, quality_rules, secrets
-from paperline.llm.common import table, written
+from paperline.llm.common import removed, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -27,7 +27,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by five-word shingles (Jaccard 0.8 or more) one stays, the one with the smallest doc_id."""
+    """Operator 1 on five-word shingles: of texts linked by a similarity of 0.8 or more the one with the smallest doc_id stays."""
     return near_dedup.dedup(docs)
 
 
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, last = written(stage(spark, docs, sf_dir), name), before
+        if last is not None:
+            removed(last)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
