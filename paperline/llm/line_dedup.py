@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, KEY, row_key, spread_join, written
+from .common import BLANK_CLASS, BLANKS, KEY, row_key, spread_join, written
 
 WINDOW = 3
 #: Places where a line ends: behind the mark of a sentence, or before blanks with a newline; never before the blanks at a text's end.
-BREAK = rf"(?:(?<=[.!?])(?={BLANK_CLASS})|(?<=[^\x20\x09-\x0D])(?={BLANK_CLASS}*\n))(?={BLANK_CLASS}*[^\x20\x09-\x0D])"
+#: The next sign being a blank is asked first, so most places are passed over at once.
+BREAK = rf"(?={BLANK_CLASS})(?:(?<=[.!?])|(?<=[^\x20\x09-\x0D])(?={BLANK_CLASS}*\n))(?={BLANK_CLASS}*[^\x20\x09-\x0D])"
 
 
 def lines(text: str = "text") -> Column:
@@ -26,8 +27,9 @@ def lines(text: str = "text") -> Column:
 
 def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, row key, ``line`` (from 0) and the hashes ``w1``, ``w2`` of each window of ``size`` lines."""
-    folded = lambda x: F.trim(F.regexp_replace(x, f"{BLANK_CLASS}+", " "))
-    hashed = F.transform(F.transform("lines", folded), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    # Most lines hold single spaces only, and are as they are once their ends are trimmed.
+    folded = lambda x: F.when(x.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(x, f"{BLANK_CLASS}+", " ")).otherwise(x)
+    hashed = F.transform(F.transform(F.transform("lines", lambda x: F.btrim(x, F.lit(BLANKS))), folded), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
     count = F.size("h") - size + 1
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     at = docs.select("doc_id", *row_key(), lines().alias("lines")).select("doc_id", *KEY, hashed.alias("h"))
@@ -39,8 +41,11 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 def runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """Row key and ``runs``: the spans (``a`` to ``b``, lines from 0) to cut out of each text, in order and apart."""
     found = windows(docs, size)
+    # One hash tells which windows may repeat; only those go on with both, so a window that stands once is shuffled narrow.
+    often = written(found.groupBy("w1").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    found = written(spread_join(found, often, ["w1"], "often").drop("often"), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *KEY, "line")
-    repeated = written(found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1"), "windows")
+    repeated = written(found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1"), "repeated")
     later = spread_join(found, repeated, ["w1", "w2"], "times").where(place != F.col("first"))
     gone = later.select(*KEY, F.explode(F.sequence("line", F.col("line") + size - 1)).alias("line")).distinct()
     ordered = Window.partitionBy(*KEY).orderBy("line")
