@@ -9,7 +9,10 @@ equal one at an earlier place, so of every repeated line one stays. A passage is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANK_CLASS, BLANKS, KEY, row_key, spread_join, written
@@ -18,6 +21,8 @@ WINDOW = 3
 #: Places where a line ends: behind the mark of a sentence, or before blanks with a newline; never before the blanks at a text's end.
 #: The next sign being a blank is asked first, so most places are passed over at once.
 BREAK = rf"(?={BLANK_CLASS})(?:(?<=[.!?])|(?<=[^\x20\x09-\x0D])(?={BLANK_CLASS}*\n))(?={BLANK_CLASS}*[^\x20\x09-\x0D])"
+#: The blanks where a line ends: those behind the mark of a sentence or with a newline. The first sign of all is asked to be a blank.
+GAP = rf"{BLANK_CLASS}(?:(?<=[.!?\n]{BLANK_CLASS})|(?<=\n)|(?<!{BLANK_CLASS}{BLANK_CLASS})(?={BLANK_CLASS}*\n)){BLANK_CLASS}*+"
 
 
 def lines(text: str = "text") -> Column:
@@ -25,32 +30,40 @@ def lines(text: str = "text") -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), BREAK, -1)
 
 
-def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def hashes(docs: DataFrame) -> DataFrame:
+    """doc_id, row key, ``n`` lines and ``h``, two 64-bit hashes of each line without blanks around it and with one space for those inside."""
+    # Trimmed in a step of its own, as the text is used often below. Most texts hold single spaces and newlines only; plain
+    # searches tell the others.
+    at = docs.select("doc_id", *row_key(), F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS)).alias("text"))
+    t = F.col("text")
+    odd = functools.reduce(operator.or_, [t.contains(x) for x in (*BLANKS.replace(" ", "").replace("\n", ""), "  ")])
+    folded = F.when(odd, F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(t)
+    hashed = F.transform(F.split(folded, GAP, -1), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    return at.select("doc_id", *KEY, hashed.alias("h")).withColumn("n", F.size("h"))
+
+
+def windows(hashed: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, row key, ``line`` (from 0) and the hashes ``w1``, ``w2`` of each window of ``size`` lines."""
-    # Most lines hold single spaces only, and are as they are once their ends are trimmed.
-    folded = lambda x: F.when(x.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(x, f"{BLANK_CLASS}+", " ")).otherwise(x)
-    hashed = F.transform(F.transform(F.transform("lines", lambda x: F.btrim(x, F.lit(BLANKS))), folded), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
-    count = F.size("h") - size + 1
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    at = docs.select("doc_id", *row_key(), lines().alias("lines")).select("doc_id", *KEY, hashed.alias("h"))
-    at = at.select("doc_id", *KEY, "h", F.explode(starts).alias("line"))
+    at = hashed.where(F.col("n") >= size).select("doc_id", *KEY, "h", F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("line"))
     of = lambda side: [F.get("h", F.col("line") + i)[side] for i in range(size)]
     return at.select("doc_id", *KEY, "line", F.xxhash64(*of("a")).alias("w1"), F.xxhash64(*of("b")).alias("w2"))
 
 
-def runs(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Row key and ``runs``: the spans (``a`` to ``b``, lines from 0) to cut out of each text, in order and apart."""
-    found = windows(docs, size)
+def runs(hashed: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Row key, ``n`` lines and ``runs``: the spans (``a`` to ``b``, lines from 0) to cut out of each text, in order and apart."""
+    found = windows(hashed, size)
     # One hash tells which windows may repeat; only those go on with both, so a window that stands once is shuffled narrow.
     often = written(found.groupBy("w1").agg(F.count("*").alias("often")).where("often > 1"), "often")
     found = written(spread_join(found, often, ["w1"], "often").drop("often"), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *KEY, "line")
     repeated = written(found.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1"), "repeated")
     later = spread_join(found, repeated, ["w1", "w2"], "times").where(place != F.col("first"))
-    gone = later.select(*KEY, F.explode(F.sequence("line", F.col("line") + size - 1)).alias("line")).distinct()
-    ordered = Window.partitionBy(*KEY).orderBy("line")
-    merged = gone.withColumn("run", F.col("line") - F.row_number().over(ordered)).groupBy(*KEY, "run").agg(F.min("line").alias("a"), F.max("line").alias("b"))
-    return merged.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    # A text's own windows meet once, in order; a run ends where the next window begins beyond the lines covered so far.
+    each = hashed.select(*KEY, "n", F.lit(None).cast("int").alias("line")).union(later.select(*KEY, F.lit(0), "line"))
+    at = each.groupBy(*KEY).agg(F.max("n").alias("n"), F.array_sort(F.collect_set("line")).alias("at"))
+    begins = F.filter("at", lambda x, i: (i == 0) | (x - F.get("at", i - 1) > size))
+    ends = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) - x > size))
+    return at.select(*KEY, "n", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b + size - 1).alias("b"))).alias("runs"))
 
 
 def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -60,15 +73,17 @@ def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     long text is as many windows as it has lines, which are dealt out. Rows alike in doc_id and text count as one row, and each
     gets its result; a null doc_id comes last. Other columns are neither read nor returned. An empty table gives an empty result.
     """
-    keyed = docs.select("doc_id", *row_key(), lines().alias("lines"))
-    at = keyed.join(runs(docs, size), KEY, "left").withColumn("runs", F.coalesce("runs", F.expr("array()").cast("array<struct<a:int,b:int>>")))
-    n = F.size("lines")
+    at = docs.select("doc_id", *row_key(), "text").join(runs(written(hashes(docs), "hashes"), size), KEY)
+    # Ends of lines are sought where something is cut out.
+    cut = F.size("runs") > 0
+    at = at.withColumn("lines", F.when(cut, lines()))  # used twice below, so it is not put inside the lambda
     starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["b"] + 1))
-    ends = F.concat(F.transform("runs", lambda r: r["a"]), F.array(n))
+    ends = F.concat(F.transform("runs", lambda r: r["a"]), F.array(F.size("lines")))
     spans = F.arrays_zip(starts.alias("s"), ends.alias("e"))
     kept = F.flatten(F.transform(spans, lambda x: F.slice("lines", x["s"] + 1, x["e"] - x["s"])))
-    removed = F.aggregate("runs", F.lit(0), lambda t, r: t + r["b"] - r["a"] + 1)
-    return at.select("doc_id", n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.array_join(kept, "").alias("cleaned"))
+    gone = F.aggregate("runs", F.lit(0), lambda t, r: t + r["b"] - r["a"] + 1)
+    cleaned = F.when(cut, F.array_join(kept, "")).otherwise(F.coalesce("text", F.lit("")))
+    return at.select("doc_id", F.col("n").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), cleaned.alias("cleaned"))
 
 
 # The mark of a cut is a private character, which the test tables don't hold; the engine itself uses none.
