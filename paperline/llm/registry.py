@@ -6,10 +6,10 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, secrets, sharding, simhash
+from . import bpe, decontamination, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, secrets, sharding, simhash
 from .common import table
 
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op12_decontamination": decontamination.ORACLE}
 
 
 def op1_simhash(spark, sf_dir):
@@ -54,4 +54,8 @@ def op8_quality_model(spark, sf_dir):
     return quality_model.scored(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_quality_rules, op4_exact_dedup, op5_bpe, op6_licenses, op7_packing, op8_quality_model, op9_sharding, op10_secrets)}
+def op12_decontamination(spark, sf_dir):
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_quality_rules, op4_exact_dedup, op5_bpe, op6_licenses, op7_packing, op8_quality_model, op9_sharding, op10_secrets, op12_decontamination)}
