@@ -158,3 +158,116 @@ def share(count: Column, total: Column) -> Column:
 def distance(p: Column, q: Column) -> Column:
     """floor((p - q)^2 / q); shares are at most SCALE + 1, so the square is a long."""
     return F.call_function("div", (p - q) * (p - q), q)
+
+
+def groups_of(docs: DataFrame, counts: DataFrame, kept: DataFrame) -> DataFrame:
+    """lang, source, its number ``at`` within the language, the count ``total`` its shares are of, and ``p0``, an absent term's share."""
+    size = kept.groupBy("lang").agg(F.count("*").alias("v"))
+    words = counts.groupBy("lang", "source").agg(F.sum("n").alias("words"))
+    rows = docs.select("lang", "source").distinct().join(words, ["lang", "source"], "left").join(size, "lang", "left")
+    v = F.coalesce("v", F.lit(0).cast("long"))
+    rows = rows.select("lang", "source", v.alias("v"), (F.coalesce("words", F.lit(0).cast("long")) + v).alias("total"))
+    p0 = F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.col("total"))).otherwise(F.lit(0).cast("long"))
+    # a language's sources are numbered in one task: as many rows as the pairs' ranking has in one task too
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+    return rows.select("lang", "source", at.alias("at"), "v", "total", p0.alias("p0"))
+
+
+def shared_sums(postings: DataFrame) -> DataFrame:
+    """lang, g, h and ``both``: what terms of both sources add to what the terms of each one give by themselves.
+
+    A term's postings are kept in blocks of BLOCK sources, so a row holds a bounded number of them whatever the term; terms are dealt to
+    tasks, each of which adds up whole squares of pairs.
+    """
+    entry = F.struct("at", "p", "p0")
+    lists = postings.groupBy("lang", "term", F.floor(F.col("at") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("own"))
+    side = lambda mark: lists.select("lang", "term", F.col("block").alias(f"b{mark}"), F.col("own").alias(f"own{mark}"))
+    met = side("g").join(side("h"), ["lang", "term"]).where((F.size("owng") > 1) | (F.col("bg") != F.col("bh"))).sortWithinPartitions("lang", "bg", "bh")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((key, x) for batch in batches for key, x in zip(zip(*(batch[c].to_pylist() for c in ("lang", "bg", "bh")), strict=True), zip(*(arrays(batch[c]) for c in ("owng", "ownh")), strict=True), strict=True))
+        for (lang, bg, bh), own in groupby(rows, itemgetter(0)):
+            sums, seen = np.zeros((BLOCK, BLOCK), np.int64), np.zeros((BLOCK, BLOCK), bool)
+            for _, ((g, pg, zg), (h, ph, zh)) in own:
+                pg, zg = pg[:, None], zg[:, None]
+                at = np.ix_(g - bg * BLOCK, h - bh * BLOCK)
+                sums[at] += (pg - ph) ** 2 // ph - (pg - zh) ** 2 // zh - (zg - ph) ** 2 // ph + (zg - zh) ** 2 // zh
+                seen[at] = True
+            i, j = np.nonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(i + bg * BLOCK), pa.array(j + bh * BLOCK), pa.array(sums[i, j])], ["lang", "g", "h", "both"])
+
+    summed = met.mapInArrow(of, "lang string, g long, h long, both long").where("g <> h")
+    return summed.groupBy("lang", "g", "h").agg(F.sum("both").alias("both"))
+
+
+def arrays(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of each list of structs, as numbers."""
+    ends, flat = lists.offsets.to_numpy(), lists.values
+    columns = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+    for a, z in zip(ends, ends[1:], strict=False):
+        yield tuple(c[a:z] for c in columns)
+
+
+def pairs(groups: DataFrame, postings: DataFrame) -> DataFrame:
+    """lang, source, item and value for each source of a language and each other one.
+
+    With the shares p, q of a term and those of an absent one, p0 and q0, the sum over all V kept terms is that of f(p0, q0), V times,
+    of f(p, q0) - f(p0, q0) over the terms of the first, of f(p0, q) - f(p0, q0) over those of the second, and of what terms of both add.
+    The sums over a source's own terms run over its different shares with their numbers, in bounded lists.
+    """
+    alike = postings.groupBy("lang", "at", "p").agg(F.count("*").alias("m"))
+    part = F.pmod(F.col("p"), F.lit(64))
+    lists = written(alike.groupBy("lang", "at", part.alias("part")).agg(F.collect_list(F.struct("p", "m")).alias("shares")), "shares")
+    one = groups.select("lang", F.col("at").alias("g"), "source", "v", F.col("p0").alias("pg"))
+    two = groups.select("lang", F.col("at").alias("h"), F.col("source").alias("item"), F.col("p0").alias("ph"))
+    # the result itself has a row for each of these pairs
+    both = written(one.join(two, "lang").where("g <> h"), "pairs")
+    add = lambda shares, f: F.aggregate(shares, F.lit(0).cast("long"), lambda n, x: n + x.m * f(x.p))
+    rest = distance(F.col("pg"), F.col("ph"))
+    first = both.join(lists.withColumnRenamed("at", "g"), ["lang", "g"]).select("lang", "g", "h", add("shares", lambda p: distance(p, F.col("ph")) - rest).alias("more"))
+    second = both.join(lists.withColumnRenamed("at", "h"), ["lang", "h"]).select("lang", "g", "h", add("shares", lambda q: distance(F.col("pg"), q) - rest).alias("more"))
+    more = first.unionByName(second).unionByName(shared_sums(postings).withColumnRenamed("both", "more")).groupBy("lang", "g", "h").agg(F.sum("more").alias("more"))
+    value = F.when(F.col("v") > 0, F.col("v") * rest + F.coalesce("more", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return both.join(more, ["lang", "g", "h"], "left").select("lang", "source", "item", value.alias("value"))
+
+
+def leading_terms(postings: DataFrame) -> DataFrame:
+    """lang, source, item and value for the terms that a source has more often than its language."""
+    return postings.where("p > q").select("lang", "source", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
+
+
+def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, most: int = MOST) -> DataFrame:
+    """lang, source, part, item, value and rank: for each source its distance to the others of its language, and its ``top`` leading terms.
+
+    Null texts, langs and sources are empty ones. Sources without terms take part; a language without kept terms has zero distances
+    and no terms. Equal values are ranked by item (UTF-8). Repeated rows count as documents of their own; doc_ids and other columns are
+    neither read nor returned. Texts of any length are searched in pieces. An empty table gives an empty result.
+    """
+    rows = texts(docs)
+    kept = written(frequencies(rows).where(F.col("df") >= least).withColumn("no", F.monotonically_increasing_id()), "kept")
+    counts = written(occurrences(rows, kept, most), "counts")
+    groups = written(groups_of(rows, counts, kept), "groups")
+    whole = groups.groupBy("lang").agg((F.sum(F.col("total") - F.col("v")) + F.max("v")).alias("lang_total"))
+    terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")).join(whole, "lang").select("lang", "term", share(F.col("lang_n"), F.col("lang_total")).alias("q"))
+    at = counts.join(groups.select("lang", "source", "at", "total", "p0"), ["lang", "source"]).join(terms, ["lang", "term"])
+    postings = written(at.select("lang", "source", "at", "term", share(F.col("n"), F.col("total")).alias("p"), "p0", "q"), "postings")
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    ranked = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
+    return ranked(pairs(groups, postings), "pair").unionByName(ranked(leading_terms(postings), "term").where(F.col("rank") <= top))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0) + coalesce(v, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN v USING (lang)),
+s AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1) // total AS p FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 1) // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM c GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM s JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT * FROM t WHERE part = 'pair' OR rank <= 200
+"""

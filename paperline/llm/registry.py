@@ -6,10 +6,10 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontamination, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, secrets, sharding, simhash
+from . import bpe, conversations, decontamination, divergence, exact_dedup, licenses, line_dedup, packing, quality_model, quality_rules, secrets, sharding, simhash
 from .common import table
 
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op12_decontamination": decontamination.ORACLE, "op13_conversations": conversations.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op11_divergence": divergence.ORACLE, "op12_decontamination": decontamination.ORACLE, "op13_conversations": conversations.ORACLE}
 
 
 def op1_simhash(spark, sf_dir):
@@ -62,4 +62,8 @@ def op13_conversations(spark, sf_dir):
     return conversations.damage_report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_quality_rules, op4_exact_dedup, op5_bpe, op6_licenses, op7_packing, op8_quality_model, op9_sharding, op10_secrets, op12_decontamination, op13_conversations)}
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_quality_rules, op4_exact_dedup, op5_bpe, op6_licenses, op7_packing, op8_quality_model, op9_sharding, op10_secrets, op11_divergence, op12_decontamination, op13_conversations)}
