@@ -209,7 +209,7 @@ LONE_LETTERS, LONE_DIGITS = "$SsЗзбOОlI|", "55533600111"
 
 def number_cell(raw: str | Column) -> Column:
     """NUM-23: (num, unit) of a cell with a number and perhaps a unit behind it; null if it is none, or a code of ten digits."""
-    t = F.regexp_replace(F.regexp_replace(col(raw), CELL_JUNK, " "), r"(^|\s)-+|-+(?=\s|$)", " ")
+    t = F.regexp_replace(F.regexp_replace(F.translate(col(raw), NBSP, " "), CELL_JUNK, " "), r"(^|\s)-+|-+(?=\s|$)", " ")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"^[‚\s]+|[‚\s]+$", ""), r"\s+", " "))
     lone = F.regexp_extract(t, r"(?i)^([$SsЗзбOОlI|])\s+(бутылка|бут|блок|шт|кор|уп|кг|гр|л|м)\.?$", 2)
     unit = F.when(t.rlike(UNIT_TAIL), F.regexp_extract(t, UNIT_TAIL, 2)).when(lone != "", lone)
