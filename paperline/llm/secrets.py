@@ -23,25 +23,46 @@ from pyspark.sql import functions as F
 from .common import KEY, columns, row_key
 from .licenses import FILLER
 
-NAMES = r"(?:(?:token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential|client[_-]?key|signing[_-]?key)[a-z0-9_-]{0,20})"
+#: Words that speak of a credential, in the languages at hand.
+WORDS = (
+    r"token|secret|passwd|password|passphrase|pwd|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential|client[_-]?key|signing[_-]?key|encryption[_-]?key"
+    r"|passwort|kennwort|mot[ _-]de[ _-]passe|contrase(?:ñ|n)a|пароль|секрет|токен"
+)
+#: A name around such a word, of any length. It starts where a run of name characters does and isn't tried again inside.
+NAMES = r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?:" + WORDS + r"))[A-Za-z0-9_-]*+"
 #: Public formats of keys. Runs have no upper bound; possessive quantifiers keep them linear.
-PREFIXED = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[0-9A-Za-z]{16,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
+PREFIXED = (
+    r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|xapp-[A-Za-z0-9-]{20,}+|[sr]k_live_[0-9A-Za-z]{16,}+"
+    r"|sk-[A-Za-z0-9_-]{20,}+|AIza[0-9A-Za-z_-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}+|dop_v1_[0-9a-f]{64}|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+"
+    r"|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
+)
 #: A private key block with all between its marks: header lines, line ends written as escapes, checksums.
 BLOCK = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
-#: What stands before a named value, and before the password of a URL.
-NAMED = r"(?i:" + NAMES + r")[\"']?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}[\"'`]?"
+#: What stands before a named value, before the password of a URL, and before the token of a request.
+ASSIGNED = r"(?iu:" + NAMES + r")\\?[\"'`]?[ \t]*+(?::=|=>|[=:])[ \t]*+"
+NAMED = ASSIGNED + r"(?:\\?[\"'`])?"
 LOGIN = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@\"'<>]*+:"
+BEARER = r"(?<![A-Za-z0-9_-])(?i:bearer|basic)[ \t]++"
+#: A value between quotes runs to the closing one, behind an escaped quote to the next escaped one.
+QUOTED = "|".join(
+    rf"{q}(?=[^{q}\r\n]{{6}})[^{q}\\\r\n]*+(?:\\[^\r\n][^{q}\\\r\n]*+)*+(?={q})|\\{q}(?=[^{q}\\\r\n]{{6}})[^{q}\\\r\n]*+(?:\\(?!{q})[^{q}\\\r\n]*+)*+(?=\\{q})" for q in ('"', "'", "`")
+)
+#: A bare one runs to the next blank; quotes, brackets and stops at its end are not its own.
+BARE = r"(?:\\?[\"'`])?(?!-----BEGIN )(?=\S{6})[^\s\"'`]\S*[^\s\"'`,;.)\]}>]"
+#: A URL's password runs to the last @ before its first stroke, or holds strokes and runs to one that a host follows.
+PASSWORD = r"(?:[^\s/\"'<>]+(?=@)|(?![0-9]{1,5}[/?#])[^\s\"'<>]+?(?=@[A-Za-z0-9.-]++(?::[0-9]++)?(?:[/?#\s\"'<>]|$)))"
 CANDIDATE = (
     r"(?:" + NAMED + r")?" + BLOCK
-    + r"|" + LOGIN + r"[^\s/@\"'<>]++(?=@)"
-    r"|" + NAMED + r"(?!-----BEGIN )[A-Za-z0-9+/_.~@!%^-]{6,}+={0,2}"
+    + r"|" + LOGIN + PASSWORD
+    + r"|" + ASSIGNED + r"(?!" + BEARER + r")(?:" + QUOTED + r"|" + BARE + r")"
+    r"|" + BEARER + r"[A-Za-z0-9._~+/-]{16,}+={0,2}"
     r"|(?<![A-Za-z0-9_+/-])(?:" + PREFIXED + r")(?![A-Za-z0-9_-])"
     r"|(?<![A-Za-z0-9_+/=-])(?:[0-9a-fA-F]{32,}+|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{40,}+={0,2})(?![A-Za-z0-9_+/-])"
 )
 #: Characters on each side of a candidate that its features may look at.
 AROUND = 60
-VALUE = r"^(?:" + NAMED + r"|" + LOGIN + r")?"
-CREDENTIAL_WORDS = r"(?i)token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|private|credential|signing"
+VALUE = r"^(?:" + NAMED + r"|" + LOGIN + r"|" + BEARER + r")?"
+CREDENTIAL_WORDS = r"(?iu)token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|auth|private|credential|signing|bearer|kennwort|de[ _-]passe|contrase|пароль|секрет|токен"
 HARMLESS_WORDS = r"(?i)(?<![\w.@-])(?:sha-?1|sha-?256|sha512|md5|checksum|digest|commit|revision|etag|uuid|example|sample|dummy|test|placeholder|fingerprint|integrity|hash)(?![\w.@])"
 HARMLESS_PATHS = r"(?i)test|example|sample|fixture|mock|doc|lock|vendor"
 PLACEHOLDER = r"(?i)your|example|changeme|placeholder|dummy|xxxx|\*\*\*\*|0000000|1234567|<.*>|\$\{|redacted|secret_?here|todo"
@@ -119,15 +140,17 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
             lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])), lambda: pick(upper + lower + digit, rng.randint(20, 48)),
             lambda: pick(upper + lower + digit + "+/", rng.choice([40, 64])), lambda: pick(lower + digit + "!@%^", rng.randint(10, 18)),
             lambda: word() + pick(digit, rng.randint(1, 3)) + pick("!@%^_" + lower, rng.randint(0, 2)),
+            lambda: pick(upper + lower + digit + "$&#*?(){}~!@%^+=.,;:-", rng.randint(9, 24)), lambda: word() + pick("$&#!@*", 1) + pick(upper + lower + digit, rng.randint(3, 8)),
+            lambda: word()[:3] + pick(digit, 1) + word()[:3] + pick("&#$!", 1) + pick(digit, 1) + word()[:3], lambda: pick("$@!#", 1).join([word(), pick(digit, 2), word()]),
         ])()
         url = f"{prose()} {rng.choice(['postgres', 'https', 'redis', 'mysql', 'amqp'])}://{word()}:"
         if i % 2:
-            prefixed = rng.choice(["AKIA" + pick(upper + digit, 16), "ghp_" + pick(upper + lower + digit, 36), "sk_live_" + pick(lower + digit, 24)])
-            value, before, path = rng.choice([(random_value, named, rng.choice(code)), (random_value, named, rng.choice(code)), (random_value, url, rng.choice(code)), (prefixed, rng.choice([named, prose() + " "]), rng.choice(code))])
+            prefixed = rng.choice(["AKIA" + pick(upper + digit, 16), "ghp_" + pick(upper + lower + digit, 36), "sk_live_" + pick(lower + digit, 24), "glpat-" + pick(upper + lower + digit + "_-", 20)])
+            value, before, path = rng.choice([(random_value, named, rng.choice(code)), (random_value, named, rng.choice(code)), (random_value, url, rng.choice(code)), (prefixed, rng.choice([named, prose() + " "]), rng.choice(code)), (pick(upper + lower + digit + "._-", rng.randint(20, 60)), prose() + " Authorization: Bearer ", rng.choice(code))])
         else:
             said = rng.choice(["commit ", "sha256: ", "md5=", "checksum: ", "etag ", "revision ", "integrity sha512-", "digest "])
             digest = hashlib.sha256(str(i).encode()).hexdigest()[: rng.choice([32, 40, 64])]
-            fake = rng.choice(["your_" + word() + "_here", "changeme" + word(), "xxxxxxxxxxxxxxxx", "example-" + word() + "-key", "placeholder_value", rng.choice(["required", "disabled", "enabled", "missing", "optional", "invalid", "encrypted", "unchanged"]), "${" + word().upper() + "}", "1234567890", word() + word() + word() + "." + word()])
+            fake = rng.choice(["your_" + word() + "_here", "changeme" + word(), "xxxxxxxxxxxxxxxx", "example-" + word() + "-key", "placeholder_value", rng.choice(["required", "disabled", "enabled", "missing", "optional", "invalid", "encrypted", "unchanged"]), "${" + word().upper() + "}", "1234567890", word() + word() + word() + "." + word(), "get_" + word() + "(" + word() + ")", "self." + word() + "_" + word(), f'os.environ["{word().upper()}"]', prose() + " " + prose(), word() + word() + rng.choice([".", ",", "", "?"]), f"{word()}({word()}, {word()})", "<" + word() + "-" + word() + ">"])
             value, before, path = rng.choice([
                 (digest, prose() + " " + said, rng.choice(code)), (digest, prose() + " ", rng.choice(code + harmless)), (fake, named, rng.choice(code + harmless)),
                 (word() + "_" + word() + "_" + word() + "_" + word(), named, rng.choice(code)), ("get_" + word() + "." + word() + "_" + word(), named, rng.choice(code)),
