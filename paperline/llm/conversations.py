@@ -150,12 +150,12 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from batch.slice(at, 4096).to_pylist()
 
 
-def runs(rows: Iterable[dict]) -> Iterator[dict]:
-    """Elements of up to RUN rows."""
+def runs(rows: Iterable[dict], size: int) -> Iterator[dict]:
+    """Elements of up to ``size`` rows."""
     own: list[dict] = []
     for r in rows:
         own.append(r)
-        if len(own) == RUN:
+        if len(own) == size:
             yield of_run(own)
             own = []
     if own:
@@ -185,8 +185,8 @@ def marked(turns: DataFrame) -> DataFrame:
     return rows.join(first, ["h1", "h2"], "left").select("conv_id", "turn", "at", "initial", again.alias("fault"))
 
 
-def elements(marks: DataFrame) -> DataFrame:
-    """One element for each conversation, its total: those of partitions first, then FAN neighbours at a time."""
+def elements(marks: DataFrame, run: int = RUN, fan: int = FAN) -> DataFrame:
+    """One element for each conversation, its total: those of partitions first, then ``fan`` neighbours at a time."""
     schema = f"{fields(marks, 'conv_id')}, at long, {ELEMENT_DDL}"
 
     def folding(key: list[str], whole: bool):
@@ -196,7 +196,7 @@ def elements(marks: DataFrame) -> DataFrame:
                 for _, rows in groupby(records(chain([head], batches)), itemgetter(*key)):
                     first = next(rows)
                     fold = Fold()
-                    for x in (chain if whole else lambda *r: runs(chain(*r)))([first], rows):
+                    for x in (chain if whole else lambda *r: runs(chain(*r), run))([first], rows):
                         fold.add(x)
                     yield pa.RecordBatch.from_pylist([{"conv_id": first["conv_id"], "at": first["at"], **fold.total()}], kind)
 
@@ -207,7 +207,7 @@ def elements(marks: DataFrame) -> DataFrame:
     while True:
         # few rows: a conversation has one for each partition that it lies in
         place = F.row_number().over(own.orderBy("at")) - 1
-        found = written(found.withColumn("n", F.count("*").over(own)).withColumn("part", F.floor(place / FAN)), "counted")
+        found = written(found.withColumn("n", F.count("*").over(own)).withColumn("part", F.floor(place / fan)), "counted")
         done.append(found.where("n = 1").drop("n", "part"))
         more = found.where("n > 1").drop("n")
         if more.isEmpty():
@@ -215,13 +215,13 @@ def elements(marks: DataFrame) -> DataFrame:
         found = more.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "at").mapInArrow(folding(["conv_id", "part"], True), schema)
 
 
-def totals(turns: DataFrame) -> DataFrame:
+def totals(turns: DataFrame, run: int = RUN, fan: int = FAN) -> DataFrame:
     """gaps, counts of faults, illegal neighbours, the least cost and its audit for each conversation of ``ordered`` turns."""
     entries = F.arrays_zip("costs", "audits", "states")
     ends = F.transform(F.filter(entries, lambda x: x.states.isin(NOTHING, ASSISTANT)), lambda x: F.struct(x.costs.alias("cost"), x.audits.alias("audit")))
     gaps = F.when(F.col("turns") == 0, 0).otherwise(F.col("last_turn") - F.col("first_turn") + 1 - F.col("turns")).cast("long")
     counts = [gaps.alias("gaps"), "blank", "duplicate", "truncated", "illegal"]
-    return elements(marked(turns)).select("conv_id", *counts, F.array_min(ends).alias("best")).select("conv_id", *COUNTS, "best.cost", "best.audit")
+    return elements(marked(turns), run, fan).select("conv_id", *counts, F.array_min(ends).alias("best")).select("conv_id", *COUNTS, "best.cost", "best.audit")
 
 
 COUNTS = ["gaps", "blank", "duplicate", "truncated", "illegal"]
@@ -269,7 +269,7 @@ def repaired(conversations: DataFrame) -> DataFrame:
     return streamed(turns, written(totals(turns), "totals")).mapInArrow(of, f"{fields(turns, 'conv_id')}, place long, role string, text string")
 
 
-def report(conversations: DataFrame) -> DataFrame:
+def report(conversations: DataFrame, run: int = RUN, fan: int = FAN) -> DataFrame:
     """gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 for each conv_id.
 
     Turns come in the order of turn (nulls first), role and text. Null roles and texts are one space, so such texts are blank; null
@@ -277,7 +277,7 @@ def report(conversations: DataFrame) -> DataFrame:
     and texts of any number and length are handled. Other columns are neither read nor returned. An empty table gives an empty result.
     """
     turns = ordered(conversations)
-    total = written(totals(turns), "totals")
+    total = written(totals(turns, run, fan), "totals")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head in batches:

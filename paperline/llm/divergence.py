@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse, groupby
+from itertools import filterfalse
 from operator import itemgetter
 
 import ahocorasick
@@ -38,6 +38,8 @@ HELD = 500_000
 PIECE = 4_000_000
 #: Sources of a language in a block of postings.
 BLOCK = 256
+#: Squares of pairs, BLOCK on a side, that a worker adds up at a time.
+SQUARES = 64
 TOP = 200
 SCALE = 1_000_000_000
 
@@ -70,7 +72,10 @@ def frequencies(docs: DataFrame) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter[bytes]] = {}
         for lang, _, text in rows_of(batches):
-            held.setdefault(lang, Counter()).update({w for p in pieces(text) for w in p.split()})
+            words: set[bytes] = set()
+            for p in pieces(text):
+                words.update(p.split())
+            held.setdefault(lang, Counter()).update(words)
             if sum(map(len, held.values())) > HELD:
                 yield from told(held)
                 held = {}
@@ -95,15 +100,16 @@ def head(kept: DataFrame, most: int = MOST) -> tuple[DataFrame, bool]:
 
 
 @lru_cache(maxsize=1)
-def automata(token: object) -> tuple[dict[str, ahocorasick.Automaton], dict[str, set[bytes]]]:
-    """For each language an automaton of its terms between delimiters, and the terms; built once in each worker."""
+def automata(token: object, more: bool) -> tuple[dict[str, ahocorasick.Automaton], dict[str, set[bytes]]]:
+    """For each language an automaton of its terms between delimiters, and, if there are more terms, these; built once in each worker."""
     terms: pa.Table = token.value
     found: dict[str, ahocorasick.Automaton] = {}
     known: dict[str, set[bytes]] = {}
     # frequent terms first: their nodes lie side by side in memory
     for lang, term, no in zip(*(terms[c].to_pylist() for c in ("lang", "term", "no")), strict=True):
         found.setdefault(lang, ahocorasick.Automaton()).add_word(f" {term} ", no)
-        known.setdefault(lang, set()).add(term.encode())
+        if more:
+            known.setdefault(lang, set()).add(term.encode())
     for a in found.values():
         a.make_automaton()
     return found, known
@@ -115,7 +121,7 @@ def occurrences(docs: DataFrame, kept: DataFrame, most: int = MOST) -> DataFrame
     token = docs.sparkSession.sparkContext.broadcast(terms.orderBy(F.desc("df"), "no").select("lang", "term", "no").toArrow())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known = automata(token)
+        found, known = automata(token, more)
         held: dict[tuple[str, str], Counter] = {}
         size = seen = 0
         for lang, source, text in rows_of(batches):
@@ -135,8 +141,8 @@ def occurrences(docs: DataFrame, kept: DataFrame, most: int = MOST) -> DataFrame
     def told(held: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
         for (lang, source), own in held.items():
             keys = list(own)
-            numbers = pa.array([k if isinstance(k, int) else None for k in keys], pa.int64())
-            rest = pa.array([None if isinstance(k, int) else k for k in keys], pa.binary()).cast(pa.string())
+            numbers = pa.array([k if isinstance(k, int) else None for k in keys] if more else keys, pa.int64())
+            rest = pa.array([None if isinstance(k, int) else k for k in keys], pa.binary()).cast(pa.string()) if more else pa.nulls(len(keys), pa.string())
             names = [pa.array([x] * len(keys), pa.string()) for x in (lang, source)]
             yield pa.RecordBatch.from_arrays([*names, numbers, rest, pa.array(list(own.values()), pa.int64())], ["lang", "source", "no", "rest", "n"])
 
@@ -152,7 +158,8 @@ def occurrences(docs: DataFrame, kept: DataFrame, most: int = MOST) -> DataFrame
 def share(count: Column, total: Column) -> Column:
     """1 + floor(SCALE * (count + 1) / total), whatever the size of the counts."""
     whole = lambda c: c.cast("decimal(19,0)")
-    return F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * whole(count + 1), whole(total)) + 1
+    large = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * whole(count + 1), whole(total))
+    return F.when(count < 2**63 // SCALE - 1, F.call_function("div", (count + 1) * SCALE, total)).otherwise(large) + 1
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -173,42 +180,73 @@ def groups_of(docs: DataFrame, counts: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.select("lang", "source", at.alias("at"), "v", "total", p0.alias("p0"))
 
 
-def shared_sums(postings: DataFrame) -> DataFrame:
+def shared_sums(postings: DataFrame, blocks: int, block: int = BLOCK) -> DataFrame:
     """lang, g, h and ``both``: what terms of both sources add to what the terms of each one give by themselves.
 
-    A term's postings are kept in blocks of BLOCK sources, so a row holds a bounded number of them whatever the term; terms are dealt to
-    tasks, each of which adds up whole squares of pairs.
+    A term's postings are kept in blocks of ``block`` sources, so a row holds a bounded number of them whatever the term; terms are dealt to
+    tasks, each of which adds up whole squares of pairs. Only where a language has several blocks do the blocks of a term meet.
     """
     entry = F.struct("at", "p", "p0")
-    lists = postings.groupBy("lang", "term", F.floor(F.col("at") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("own"))
-    side = lambda mark: lists.select("lang", "term", F.col("block").alias(f"b{mark}"), F.col("own").alias(f"own{mark}"))
-    met = side("g").join(side("h"), ["lang", "term"]).where((F.size("owng") > 1) | (F.col("bg") != F.col("bh"))).sortWithinPartitions("lang", "bg", "bh")
+    lists = postings.groupBy("lang", "term", F.floor(F.col("at") / block).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("own"))
+    within = lists.where(F.size("own") > 1).select("lang", F.col("block").alias("bg"), F.col("block").alias("bh"), F.col("own").alias("owng"), F.lit(None).cast(lists.schema["own"].dataType).alias("ownh"))
+    if blocks > 1:
+        lists = written(lists, "lists")
+        side = lambda mark: lists.select("lang", "term", F.col("block").alias(f"b{mark}"), F.col("own").alias(f"own{mark}"))
+        within = within.unionByName(side("g").join(side("h"), ["lang", "term"]).where("bg <> bh").drop("term"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((key, x) for batch in batches for key, x in zip(zip(*(batch[c].to_pylist() for c in ("lang", "bg", "bh")), strict=True), zip(*(arrays(batch[c]) for c in ("owng", "ownh")), strict=True), strict=True))
-        for (lang, bg, bh), own in groupby(rows, itemgetter(0)):
-            sums, seen = np.zeros((BLOCK, BLOCK), np.int64), np.zeros((BLOCK, BLOCK), bool)
-            for _, ((g, pg, zg), (h, ph, zh)) in own:
-                pg, zg = pg[:, None], zg[:, None]
-                at = np.ix_(g - bg * BLOCK, h - bh * BLOCK)
-                sums[at] += (pg - ph) ** 2 // ph - (pg - zh) ** 2 // zh - (zg - ph) ** 2 // ph + (zg - zh) ** 2 // zh
-                seen[at] = True
-            i, j = np.nonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(i + bg * BLOCK), pa.array(j + bh * BLOCK), pa.array(sums[i, j])], ["lang", "g", "h", "both"])
-
-    summed = met.mapInArrow(of, "lang string, g long, h long, both long").where("g <> h")
+        held: dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            keys = list(zip(*(batch[c].to_pylist() for c in ("lang", "bg", "bh")), strict=True))
+            one, two = Lists(batch["owng"]), Lists(batch["ownh"])
+            for key in dict.fromkeys(keys):
+                rows = np.array([i for i, k in enumerate(keys) if k == key])
+                if key not in held and len(held) >= SQUARES:
+                    yield from told(held)
+                    held = {}
+                sums, seen = held.setdefault(key, (np.zeros(block * block, np.int64), np.zeros(block * block, bool)))
+                add_up(sums, seen, rows, one, one if key[1] == key[2] else two, key[1] * block, key[2] * block, block)
+        yield from told(held)
+
+    def told(held: dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for (lang, bg, bh), (sums, seen) in held.items():
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at // block + bg * block), pa.array(at % block + bh * block), pa.array(sums[at])], ["lang", "g", "h", "both"])
+
+    summed = within.mapInArrow(of, "lang string, g long, h long, both long").where("g <> h")
     return summed.groupBy("lang", "g", "h").agg(F.sum("both").alias("both"))
 
 
-def arrays(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
-    """The columns of each list of structs, as numbers."""
-    ends, flat = lists.offsets.to_numpy(), lists.values
-    columns = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
-    for a, z in zip(ends, ends[1:], strict=False):
-        yield tuple(c[a:z] for c in columns)
+class Lists:
+    """Postings of many terms as flat columns: source, share, share of an absent term."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        self.sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        self.columns = [lists.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+
+    def of(self, rows: np.ndarray, size: int) -> list[np.ndarray]:
+        """The columns of rows whose lists have one size, a line for each row."""
+        at = self.starts[rows][:, None] + np.arange(size)
+        return [c[at] for c in self.columns]
+
+
+def add_up(sums: np.ndarray, seen: np.ndarray, rows: np.ndarray, one: Lists, two: Lists, base_g: int, base_h: int, block: int) -> None:
+    """Adds what the terms of ``rows`` give to each pair of their sources; terms with lists of the same sizes go together."""
+    sizes = one.sizes[rows] * (block + 1) + two.sizes[rows]
+    for size in np.unique(sizes):
+        n, m = divmod(int(size), block + 1)
+        alike, step = rows[sizes == size], max(1, 1_000_000 // (n * m))
+        for k in range(0, len(alike), step):
+            g, pg, zg = (c[:, :, None] for c in one.of(alike[k : k + step], n))
+            h, ph, zh = (c[:, None, :] for c in two.of(alike[k : k + step], m))
+            more = (pg - ph) ** 2 // ph - (pg - zh) ** 2 // zh - (zg - ph) ** 2 // ph + (zg - zh) ** 2 // zh
+            at = (g - base_g) * block + (h - base_h)
+            np.add.at(sums, at.ravel(), more.ravel())
+            seen[at.ravel()] = True
 
 
-def pairs(groups: DataFrame, postings: DataFrame) -> DataFrame:
+def pairs(groups: DataFrame, postings: DataFrame, block: int = BLOCK) -> DataFrame:
     """lang, source, item and value for each source of a language and each other one.
 
     With the shares p, q of a term and those of an absent one, p0 and q0, the sum over all V kept terms is that of f(p0, q0), V times,
@@ -222,11 +260,12 @@ def pairs(groups: DataFrame, postings: DataFrame) -> DataFrame:
     two = groups.select("lang", F.col("at").alias("h"), F.col("source").alias("item"), F.col("p0").alias("ph"))
     # the result itself has a row for each of these pairs
     both = written(one.join(two, "lang").where("g <> h"), "pairs")
+    blocks = (groups.agg(F.coalesce(F.max("at"), F.lit(0))).first()[0]) // block + 1
     add = lambda shares, f: F.aggregate(shares, F.lit(0).cast("long"), lambda n, x: n + x.m * f(x.p))
     rest = distance(F.col("pg"), F.col("ph"))
     first = both.join(lists.withColumnRenamed("at", "g"), ["lang", "g"]).select("lang", "g", "h", add("shares", lambda p: distance(p, F.col("ph")) - rest).alias("more"))
     second = both.join(lists.withColumnRenamed("at", "h"), ["lang", "h"]).select("lang", "g", "h", add("shares", lambda q: distance(F.col("pg"), q) - rest).alias("more"))
-    more = first.unionByName(second).unionByName(shared_sums(postings).withColumnRenamed("both", "more")).groupBy("lang", "g", "h").agg(F.sum("more").alias("more"))
+    more = first.unionByName(second).unionByName(shared_sums(postings, blocks, block).withColumnRenamed("both", "more")).groupBy("lang", "g", "h").agg(F.sum("more").alias("more"))
     value = F.when(F.col("v") > 0, F.col("v") * rest + F.coalesce("more", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
     return both.join(more, ["lang", "g", "h"], "left").select("lang", "source", "item", value.alias("value"))
 
@@ -236,7 +275,7 @@ def leading_terms(postings: DataFrame) -> DataFrame:
     return postings.where("p > q").select("lang", "source", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
 
 
-def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, most: int = MOST) -> DataFrame:
+def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value and rank: for each source its distance to the others of its language, and its ``top`` leading terms.
 
     Null texts, langs and sources are empty ones. Sources without terms take part; a language without kept terms has zero distances
@@ -253,7 +292,7 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, most: int = MOST)
     postings = written(at.select("lang", "source", "at", "term", share(F.col("n"), F.col("total")).alias("p"), "p0", "q"), "postings")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
-    return ranked(pairs(groups, postings), "pair").unionByName(ranked(leading_terms(postings), "term").where(F.col("rank") <= top))
+    return ranked(pairs(groups, postings, block), "pair").unionByName(ranked(leading_terms(postings), "term").where(F.col("rank") <= top))
 
 
 ORACLE = r"""
