@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import desk, documents, exports, money, resolving, scalars
+from . import desk, documents, exports, money, resolving, scalars, sheets
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scalars, money, resolving, documents, exports, desk):
+for _module in (scalars, money, resolving, documents, exports, desk, sheets):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
