@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cents, round2
 from ..functions.strings import base64url_json, tsv_cell
+from .stage import stored
 
 COLUMNS = ("barcode", "qty", "price", "name", "sum", "code", "unit")
 
@@ -84,15 +85,38 @@ def labelled(lines: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def sheet_names(docs: DataFrame) -> DataFrame:
-    """LIM-03: doc_id and ``sheet``: supplier and number, cut to 31 characters, with a number behind later ones of the same name.
+    """LIM-03: doc_id and ``sheet``, unique without regard to case: supplier and number, cut to 31 characters, with a number behind later ones.
 
-    Numbers are dealt within a name, so no document waits for all others; a suffix that meets another document's own name
-    is not looked for.
+    A name that another document has by itself is its own; the others of a name take the numbers from 2 that no document's own name
+    has with that ending. Numbers are dealt within a name, so no document waits for all others; names whose numbered forms meet (by a
+    cut) are told apart by the documents' order in one more round, until all differ.
     """
     name = F.concat(F.substring(F.regexp_replace(F.coalesce("supplier", F.lit("Invoice")), r'[\\/?*\[\]:"]', ""), 1, SUPPLIER_NAME), F.coalesce(F.concat(F.lit(" "), "number"), F.lit("")))
     at = docs.select("doc_id", "ord", F.substring(name, 1, SHEET_NAME).alias("_name"))
-    k = F.row_number().over(Window.partitionBy("_name").orderBy("ord"))
-    return at.withColumn("_k", k).select("doc_id", F.when(F.col("_k") == 1, F.col("_name")).otherwise(F.concat(F.substring("_name", 1, 28), F.lit(" "), F.col("_k").cast("string"))).alias("sheet"))
+    first = F.row_number().over(Window.partitionBy(F.lower("_name")).orderBy("ord", "doc_id"))
+    at = at.withColumn("_k", first)
+    done, rest = at.where("_k = 1").select("doc_id", F.col("_name").alias("sheet")), at.where("_k > 1").select("doc_id", "ord", F.substring("_name", 1, SHEET_NAME - 3).alias("_stem"))
+    while True:
+        done, rest = stored(done, "sheets"), stored(rest, "unnamed")
+        if rest.isEmpty():
+            return done
+        stem = F.lower("_stem")
+        number = F.regexp_extract(F.lower("sheet"), r"^(.*) ([0-9]{1,9})$", 2)
+        taken = done.select(F.regexp_extract(F.lower("sheet"), r"^(.*) ([0-9]{1,9})$", 1).alias("_s"), number.cast("int").alias("_n")).where(number != "").groupBy("_s").agg(F.collect_set("_n").alias("_taken"))
+        own = rest.withColumns({"_s": stem, "_k": F.row_number().over(Window.partitionBy(stem).orderBy("ord", "doc_id"))})
+        # of the numbers from 2 that are free for a stem, the k-th goes to its k-th document
+        most = own.groupBy("_s").agg(F.max("_k").alias("_most")).join(taken, "_s", "left")
+        free = F.array_except(F.sequence(F.lit(2), F.lit(1) + F.col("_most") + F.size(F.coalesce("_taken", F.array().cast("array<int>")))), F.coalesce("_taken", F.array().cast("array<int>")))
+        named = own.join(most.select("_s", free.alias("_free")), "_s").withColumn("_n", F.get("_free", F.col("_k") - 1))
+        room = F.lit(SHEET_NAME) - F.char_length(F.col("_n").cast("string")) - 1
+        named = named.withColumn("sheet", F.concat(F.substring("_stem", F.lit(1), room), F.lit(" "), F.col("_n").cast("string")))
+        # a stem cut shorter for its number may meet another's; one of them waits for the next round
+        met = F.row_number().over(Window.partitionBy(F.lower("sheet")).orderBy("ord", "doc_id"))
+        clash = done.select(F.lower("sheet").alias("_low"), F.lit(True).alias("_held")).distinct()
+        named = named.withColumns({"_low": F.lower("sheet"), "_met": met}).join(clash, "_low", "left")
+        good = named["_held"].isNull() & (F.col("_met") == 1)
+        rest = named.where(~good).select("doc_id", "ord", F.when(F.char_length("_stem") > room, F.substring("_stem", F.lit(1), room)).otherwise(F.col("_stem")).alias("_stem"))
+        done = done.unionByName(named.where(good).select("doc_id", "sheet"))
 
 
 def report_rows(docs: DataFrame, items: DataFrame) -> DataFrame:

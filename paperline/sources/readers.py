@@ -32,33 +32,27 @@ def codes_of(cell: Column) -> Column:
 
 
 def read_catalogue(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """SRC-09: delimited files with up to 19 rows before a header that names a name and a barcode column.
+    """SRC-09: delimited files with up to 19 rows before a header that names a name and a barcode column, wherever in the row.
 
-    The header is found in the first 20 rows of each file; only those rows come to the driver. Rows without a name or a code
-    are dropped. Raises if no file has a header.
+    All files are read in one scan; their layouts are found and joined by file, and no row comes to the driver. Codes of a row are
+    kept whatever their number. Rows without a name or a code are dropped. A file without a header has no rows; raises if none has one.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    first = raw.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))).where("k <= 20")
-    layouts = []
-    for file, lines in first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("lines")).collect():
-        for line in lines:
-            cells = [c.strip().strip('"') for c in line["value"].split(sep)]
-            spots = {k: next((i for i, c in enumerate(cells) if re.search(p.replace("(?iu)", "(?i)"), c)), None) for k, p in HEADERS.items()}
-            if spots["name"] is not None and spots["barcode"] is not None:
-                layouts.append((file, line["at"], spots))
-                break
-    if not layouts:
+    cells = lambda line: F.transform(F.split(line, re.escape(sep) + r"(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda c: F.trim(F.regexp_replace(F.trim(c), "^\"|\"$", "")))
+    first = raw.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))).where("k <= 20").withColumn("c", cells(F.col("value")))
+    spot = lambda p: F.get(F.filter(F.transform("c", lambda x, i: F.when(x.rlike(p), i)), lambda i: i.isNotNull()), F.lit(0))
+    spots = first.select("file", "k", "at", *[spot(p).alias(k) for k, p in HEADERS.items()]).where("name is not null and barcode is not null")
+    layout = spots.groupBy("file").agg(F.min_by(F.struct(F.col("at").alias("head"), *HEADERS), "k").alias("l")).select("file", "l.*")
+    if layout.isEmpty():
         raise ValueError("no header with a name and a barcode column in the first 20 rows")
-    found = None
-    for file, at, spots in layouts:
-        rows = raw.where((F.col("file") == file) & (F.col("at") > at)).select("at", F.from_csv("value", ", ".join(f"c{i} string" for i in range(40)), {"sep": sep}).alias("c"))
-        cell = lambda k, spots=spots: F.trim(F.col(f"c.c{spots[k]}")) if spots[k] is not None else F.lit(None).cast("string")
-        codes = F.array_distinct(F.flatten(F.array_compact(F.array(*[F.coalesce(codes_of(cell(k)), F.array().cast("array<string>")) for k in ("barcode", "extra", "ntin")]))))
-        price = F.regexp_replace(F.translate(cell("price"), ",", "."), r"\s", "").try_cast("double")
-        part = rows.select(F.lit(file).alias("file"), "at", cell("name").alias("name"), codes.alias("codes"), cell("unit").alias("unit"), cell("supplier").alias("supplier"), price.alias("price"))
-        found = part if found is None else found.unionByName(part)
+    layout = layout.select("file", "head", *[F.col(k).alias(f"_{k}") for k in HEADERS])
+    rows = raw.join(layout, "file").where(F.col("at") > F.col("head")).withColumn("c", cells(F.col("value")))
+    cell = lambda k: F.get("c", F.col(f"_{k}"))
+    codes = F.array_distinct(F.flatten(F.array_compact(F.array(*[F.coalesce(codes_of(cell(k)), F.array().cast("array<string>")) for k in ("barcode", "extra", "ntin")]))))
+    price = F.regexp_replace(F.translate(cell("price"), ",", "."), r"\s", "").try_cast("double")
+    found = rows.select("file", "at", cell("name").alias("name"), codes.alias("codes"), cell("unit").alias("unit"), cell("supplier").alias("supplier"), price.alias("price"))
     kept = found.where((F.col("name") != "") & (F.size("codes") > 0))
-    return kept.select(F.col("at").alias("catalog_ord"), "name", F.get("codes", F.lit(0)).alias("barcode"), F.slice("codes", 2, 100).alias("extra"), "unit", "supplier", "price")
+    return kept.select(F.col("at").alias("catalog_ord"), "name", F.get("codes", F.lit(0)).alias("barcode"), F.slice("codes", F.lit(2), F.size("codes")).alias("extra"), "unit", "supplier", "price")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
