@@ -234,3 +234,25 @@ def test_sheet_names_are_unique(spark):
     got = {r.doc_id: r.sheet for r in export.sheet_names(spark.createDataFrame(docs, "doc_id int, ord int, supplier string, number string")).collect()}
     assert len(got) == len(docs) == len({s.lower() for s in got.values()}) and all(len(s) <= 31 for s in got.values())
     assert got[0] == "AB 1 2" and got[1] == "AB 1" and got[8] == "AB 1 3" and got[2] == "AB 1 4" and got[5] == "Invoice 2"
+
+
+def test_enrichment_in_its_order(spark):
+    """Held extra codes, rows without quantity, stale and misread codes, names and codes alike."""
+    from paperline.operators import resolve
+
+    shelf = spark.createDataFrame([(1, "Sunny apple juice 1 l", EANS[0], [EANS[9]], "шт", "Mill", 100.0), (2, "Sunny orange juice 1 l", EANS[1], [], "шт", "Mill", 100.0)], "catalog_ord int, name string, barcode string, extra array<string>, unit string, supplier string, price double")
+    bad = EANS[1][:4] + str((int(EANS[1][4]) + 2) % 10) + EANS[1][5:]
+    rows = [
+        (1, 1, None, "Apple drink", EANS[9], "invoice", 1.0, None), (1, 2, None, "Sunny apple juice 1 l", None, None, 2.0, None), (1, 3, None, "Sunny orange juice 1 l", None, None, None, None),
+        (2, 1, None, "x", EANS[5], "catalog", 1.0, EANS[6]), (2, 2, None, "Sunny orange juice 1 l", bad, "invoice", 1.0, None), (3, 1, "73731", "Oat biscuits soft", None, None, 1.0, None), (3, 2, "", "Oat biscuits softly", None, None, 1.0, None),
+    ]
+    none = lambda *names: {c: F.lit(None).cast("string") for c in names}
+    items = spark.createDataFrame(rows, "doc_id int, n int, code string, name string, barcode string, barcode_source string, qty double, ocr_barcode string").withColumns(
+        {"supplier_key": F.lit("s"), "supplier": F.lit("Mill"), "unit": F.lit("шт"), "price": F.lit(100.0), **none("code_alt", "alt_barcode", "invoice_name", "name_source")}
+    )
+    learned = spark.createDataFrame([("s", "73730", "4600000077777", "Oat biscuits soft"), ("s", "name:oat biscuits soft", "4600000088888", "Oat biscuits soft")], "supplier_key string, map_code string, barcode string, name string")
+    got = {(r.doc_id, r.n): (r.barcode, r.barcode_source) for r in resolve.enriched(items, learned, shelf).collect()}
+    # the first product is held under its extra code, so the row named like it takes its next option
+    assert got[1, 1] == (EANS[0], "invoice") and got[1, 2] == (EANS[1], "catalog") and got[1, 3][0] is None
+    assert got[2, 1] == (EANS[6], "invoice") and got[2, 2] == (EANS[1], "catalog")
+    assert got[3, 1] == ("4600000077777", "mapping") and got[3, 2] == ("4600000088888", "mapping")
