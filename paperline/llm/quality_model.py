@@ -135,7 +135,8 @@ def scored(docs: DataFrame, ensemble: Ensemble, predict_from: float = PREDICT_FR
     """doc_id, held_out, score and predicted, a row for each row of ``docs``.
 
     Null and empty texts are scored like any other, with statistics of zero. doc_id only tells the fold; a null one is in the
-    fold of the empty string. Repeated rows get equal scores. Other columns are neither read nor returned.
+    fold of the empty string. Repeated rows get equal scores. Very long texts are measured whole, in one pass over their words. Other
+    columns are neither read nor returned. An empty table gives an empty result.
     """
     counted = docs.select("doc_id", F.struct(*[c.alias(k) for k, c in statistics(F.col("text")).items()]).alias("c"))
     # An explode of one element: without it each rule would have its statistics counted from the text again.

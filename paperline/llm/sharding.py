@@ -35,7 +35,8 @@ def shards(docs: DataFrame, count: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard, a row for each row of ``docs``; the law is ``bytes``.
 
     Null texts are empty ones. Rows alike in doc_id and text get neighbouring slots; null doc_ids are dealt like others. Shards
-    without a row are possible only if a document is larger than a shard's target. An empty table gives an empty result. Other
+    without a row are possible only if a document is larger than a shard's target. Texts of any length count with their bytes; only
+    hashes of them are moved. An empty table gives an empty result. Other
     columns are neither read nor returned.
     """
     rows = written(sized(docs), "sized")
