@@ -41,3 +41,19 @@ def test_row_cells_keep_the_words_of_their_rows(spark):
     sheets = spark.createDataFrame([(1, 400.0, 20.0, "ean", "center")], "page long, width double, line_h double, code string, row_align string")
     got = columns.row_cells(words, rows, sheets).select("row", "text", "own").collect()
     assert sorted((r.row, r.text, r.own) for r in got) == sorted((i, t, True) for i in range(3) for t in ("7", "8,50"))
+
+
+def test_dictionary_exact_beyond_a_million_parts(spark, tmp_path):
+    """Codes of seven places hold six digits of a part's key, so parts beyond a million share them."""
+    import duckdb
+
+    from paperline.plans import registry
+
+    from .conftest import SF
+    from .test_oracles import same_rows
+
+    c = duckdb.connect()
+    for t, key in (("part", "p_partkey"), ("lineitem", "l_partkey")):
+        c.execute(f"copy (select * replace ({key} + 1000000 as {key}) from '{SF}/{t}.parquet') to '{tmp_path}/{t}.parquet' (format parquet)")
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    same_rows(registry.QUERIES["q20_dict_exact"](spark, str(tmp_path)), c, registry.ORACLES["q20_dict_exact"])
