@@ -1,4 +1,4 @@
-"""What round 3 found: repairs without broadcasts, ranking without all pairs, rows of a page without a cross join, codes beyond a million."""
+"""What round 3 found: repairs without broadcasts, steps of a cell bound once, words of rows, codes beyond a million."""
 
 from pyspark.sql import functions as F
 
