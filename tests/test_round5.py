@@ -84,3 +84,12 @@ def test_contained_normalises_names_outside_the_fold(spark):
     found = documents.contained(pairs, items)
     assert sorted(map(tuple, found.collect())) == [(1, 2), (2, 1)]
     assert all("translate(" not in x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "aggregate(need" in x)
+
+
+def test_roles_shuffle_nothing_but_the_lines(spark):
+    from paperline.plans import registry
+
+    from .conftest import SF
+
+    assert str(registry.QUERIES["q14_detect_roles"](spark, SF)._jdf.queryExecution().sparkPlan().toString()).count("Join") == 1
+    assert registry.QUERIES["q14_detect_roles"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
