@@ -50,3 +50,18 @@ def test_rank_takes_names_apart_once(spark):
     finally:
         resolve.stored = write
     assert seen and not any("Filter" in line and "translate(" in line and "_one" not in line for line in seen[0].splitlines())
+
+
+def test_suggest_takes_the_first_rows_of_a_name(spark):
+    """Every catalogue row of a name went into the ranking of every name like it."""
+    names = ["Milk Farm", "milk-farm", "Milk Firm", "Bread", "Breads", "новый продукт 1", "ab"]
+    cat = spark.range(300).select((F.col("id") * 7 % 300).cast("int").alias("catalog_ord"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 7 + 1).cast("int")).alias("name"))
+    asked = cat.select("name")
+    found = resolve.suggest(asked, cat, 3)
+    from paperline.functions.strings import name_similarity, normalize_name, trigrams
+
+    at = asked.distinct().where(F.size(trigrams(normalize_name("name"))) >= 3).crossJoin(cat.where("not name like 'новый%'").withColumnRenamed("name", "known"))
+    scored = at.withColumn("score", name_similarity(F.col("name"), F.col("known"))).where("score > 0.25").collect()
+    want = [(n, k + 1, r.catalog_ord) for n in {r.name for r in scored} for k, r in enumerate(sorted((r for r in scored if r.name == n), key=lambda r: (-r.score, r.catalog_ord))[:3])]
+    assert sorted((r.name, r["rank"], r.catalog_ord) for r in found.collect()) == sorted(want)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("WindowGroupLimit") >= 3
