@@ -65,3 +65,13 @@ def test_suggest_takes_the_first_rows_of_a_name(spark):
     want = [(n, k + 1, r.catalog_ord) for n in {r.name for r in scored} for k, r in enumerate(sorted((r for r in scored if r.name == n), key=lambda r: (-r.score, r.catalog_ord))[:3])]
     assert sorted((r.name, r["rank"], r.catalog_ord) for r in found.collect()) == sorted(want)
     assert found._jdf.queryExecution().sparkPlan().toString().count("WindowGroupLimit") >= 3
+
+
+def test_lines_are_not_asked_for_trigrams_of_their_names(spark):
+    """q28 (and every join with suggestions): whether a name has three trigrams was asked of every line that was to meet them."""
+    from paperline.plans import registry
+
+    from .conftest import SF
+
+    plan = registry.QUERIES["q28_cat_assign"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "sequence(" in line and "p_name" in line for line in plan.splitlines())
