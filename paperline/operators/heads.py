@@ -86,18 +86,22 @@ def line_heads(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """STR-21 on lines (page, line, text, y1): page, number, date: labelled ones, else those of a title line, else those of the first dated line on top."""
     t, fixed = F.col("text"), fix_digits("text")
     at = lines.join(pages.select("page", "height"), "page")
-    label = F.nullif(F.regexp_extract(t, NUMBER_LABEL, 1), F.lit(""))
-    labelled = F.concat(to_cyrillic(F.left(label, F.lit(2))), F.regexp_replace(F.substring(label, F.lit(3), F.char_length(label)), "[OО]", "0"))
-    dated = F.when(t.rlike(DATE_LABEL) & ~t.rlike("(?iu)составлен"), find_date(fix_digits(F.regexp_extract(t, DATE_LABEL, 1))))
-    own_date = F.when(t.rlike(TITLE), F.coalesce(find_date("text"), find_date(fixed)))
-    sign = F.nullif(F.regexp_extract(t, NUMBER_SIGN, 1), F.lit(""))
-    title_no = F.coalesce(to_cyrillic(F.regexp_replace(sign, r"\s", "")), _last(_runs(fix_digits(_before_date(t)))))
+    # Columns one on another: each is worked out once for a line, a number only where its date was found.
     top = (F.col("y1") < TOP_SHARE * F.col("height")) & ~t.rlike(NOT_ITS_DATE)
-    top_date = F.nullif(F.when(top, find_date(fixed)), F.lit(FORM_DATE))
-    top_no = _last(_runs(F.regexp_replace(_before_date(fixed), r"[|\]\[]", " ")))
-    first = lambda value, there: F.min(F.when(there.isNotNull(), F.struct("line", value.alias("v"))))["v"]
+    at = at.withColumn("fixed", fixed).withColumns({
+        "label": F.nullif(F.regexp_extract(t, NUMBER_LABEL, 1), F.lit("")), "dated": F.when(t.rlike(DATE_LABEL) & ~t.rlike("(?iu)составлен"), find_date(fix_digits(F.regexp_extract(t, DATE_LABEL, 1)))),
+        "own_date": F.when(t.rlike(TITLE), F.coalesce(find_date("text"), find_date("fixed"))), "top_date": F.nullif(F.when(top, find_date("fixed")), F.lit(FORM_DATE)),
+    })
+    label, sign = F.col("label"), F.nullif(F.regexp_extract(t, NUMBER_SIGN, 1), F.lit(""))
+    title_no = F.coalesce(to_cyrillic(F.regexp_replace(sign, r"\s", "")), _last(_runs(fix_digits(_before_date(t)))))
+    top_no = _last(_runs(F.regexp_replace(_before_date(F.col("fixed")), r"[|\]\[]", " ")))
+    at = at.withColumns({
+        "labelled": F.concat(to_cyrillic(F.left(label, F.lit(2))), F.regexp_replace(F.substring(label, F.lit(3), F.char_length(label)), "[OО]", "0")),
+        "title_no": F.when(F.col("own_date").isNotNull(), title_no), "top_no": F.when(F.col("top_date").isNotNull(), top_no),
+    })
+    first = lambda value, there: F.min(F.when(F.col(there).isNotNull(), F.struct("line", F.col(value).alias("v"))))["v"]
     found = at.groupBy("page").agg(
-        first(labelled, label).alias("n1"), first(dated, dated).alias("d1"), first(title_no, own_date).alias("n2"), first(own_date, own_date).alias("d2"), first(top_no, top_date).alias("n3"), first(top_date, top_date).alias("d3")
+        first("labelled", "label").alias("n1"), first("dated", "dated").alias("d1"), first("title_no", "own_date").alias("n2"), first("own_date", "own_date").alias("d2"), first("top_no", "top_date").alias("n3"), first("top_date", "top_date").alias("d3")
     )
     one, two = F.col("n1").isNotNull() | F.col("d1").isNotNull(), F.col("d2").isNotNull()
     pick = lambda k: F.when(one, F.col(f"{k}1")).when(two, F.col(f"{k}2")).otherwise(F.col(f"{k}3"))
